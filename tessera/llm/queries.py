@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, merkle, neardup, substrings, tokens
-from tessera.llm.common import table
+from tessera.llm import decontaminate, licenses, merkle, mixing, neardup, sharding, substrings, tokens
+from tessera.llm.common import shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,12 +22,27 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{shared_folder(spark)}/tessera-corpus-{uuid.uuid4().hex}"
+    out = sharding.sharded(table(spark, sf_dir, "documents"), root)
+    per = sharding.manifest(spark, root).select(F.col("shard").alias("_shard"), F.col("docs").alias("shard_docs"), F.col("bytes").alias("shard_bytes"))
+    return out.join(per, "_shard").select("doc_id", F.col("_run").alias("run"), F.col("_tier").alias("tier"), F.col("_shard").alias("shard"), "shard_docs", "shard_bytes")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -34,11 +51,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_near_dedup, op3_fingerprints, op7_token_counts, op9_substring_dedup, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_near_dedup, op3_fingerprints, op4_sharding, op6_mixing, op7_token_counts, op8_license_scan, op9_substring_dedup, op10_decontaminate)}
 
 _WORDS10 = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 SQL: dict[str, str] = {
+    "op4_sharding": """
+WITH d AS (SELECT doc_id, coalesce(doc_id // 16384, -1) AS slot, coalesce(doc_id // 16384, -1) || '/' || coalesce(source, '') AS run,
+                  coalesce(strlen(text), 0) AS b, coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '') AS t FROM documents),
+r AS (SELECT slot, run, sum(b)::BIGINT AS bytes FROM d GROUP BY ALL),
+p AS (SELECT *, ((length(bin(bytes)) - 1) // 2)::INT AS tier, floor(slot / 256)::BIGINT AS region, greatest(1, ceil(bytes / 67108864))::BIGINT AS parts FROM r),
+s AS (SELECT *, coalesce(sum(CASE WHEN parts = 1 THEN bytes ELSE 0 END) OVER (PARTITION BY tier, region ORDER BY slot, run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 67108864 AS number FROM p),
+m AS (SELECT d.doc_id, d.run, tier, b, CASE WHEN parts = 1 THEN 't' || tier || '-r' || region || '-' || number
+             ELSE 't' || tier || '-' || d.run || '-' || (('0x' || substr(md5(t), 1, 8))::BIGINT % parts) END AS shard FROM d JOIN s USING (slot, run))
+SELECT doc_id, run, tier, shard, count(*) OVER (PARTITION BY shard) AS shard_docs, (sum(b) OVER (PARTITION BY shard))::BIGINT AS shard_bytes FROM m""",
     "op9_substring_dedup": """
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS n FROM d WHERE len(w) >= 35),
