@@ -1,12 +1,59 @@
-"""A training corpus from `documents`."""
+"""A training corpus from `documents`: STAGES, each from the Parquet that its predecessor wrote."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, mixing, neardup, quality, sharding
+from tessera.llm.common import materialize, shared_folder, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return neardup.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold windows of two benchmark items or more go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in the order of its shards."""
+    mixed = mixing.mixture(docs)
+    return mixed.repartition("_shard").sortWithinPartitions("_shard", "_order").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def sharding_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents, read back from the committed shards, with shard and tier."""
+    root = f"{shared_folder(spark)}/tessera-corpus-{uuid.uuid4().hex}"
+    return sharding.sharded(docs, root).withColumnsRenamed({"_run": "run", "_tier": "tier", "_shard": "shard"})
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing_sources),
+    ("sharding", sharding_files),
+]
 
-STAGES: list = []
+#: The classifier's scores have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = materialize(docs, "stage")
+    return docs
