@@ -189,7 +189,7 @@ class Tagger:
             g |= {f"x{d}": gx, f"h{d}": gh, f"b{d}": gb}
         return {k: (v / n).astype(np.float32) for k, v in g.items()}
 
-    def fit(self, ids: np.ndarray, gold: np.ndarray, epochs: int, batch: int = 96, rate: float = 0.02, seed: int = 4) -> "Tagger":
+    def fit(self, ids: np.ndarray, gold: np.ndarray, epochs: int, batch: int = 32, rate: float = 0.03, seed: int = 4) -> "Tagger":
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -254,7 +254,7 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str], list
     return ids, gold, texts, spans
 
 
-def train(windows: int = 1600, epochs: int = 5, seed: int = 9) -> Tagger:
+def train(windows: int = 2400, epochs: int = 8, seed: int = 9) -> Tagger:
     ids, gold, _, _ = labelled(windows, seed)
     return Tagger().fit(ids, gold, epochs)
 
