@@ -1,0 +1,108 @@
+"""Text functions as Columns."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Bytes for each token by content class, and the guard factor.
+BYTES_PER_TOKEN = {"text": 4.0, "dense": 1.45, "wide": 3.6}
+GUARD = 0.75
+
+WIDE = r"[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]"
+
+#: Volatile parts, in order, with what stands for them.
+VOLATILE = [
+    (r"\b[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?\b", "<time>"),
+    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<uuid>"),
+    (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "<ip>"),
+    (r"\b[0-9a-fA-F]{8,}\b", "<hex>"),
+    (r"\b[0-9]+\b", "<n>"),
+]
+
+#: Secret shapes, in order, with the class that replaces them.
+SECRETS = [
+    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"),
+    ("aws-key", r"\b(AKIA|ASIA)[0-9A-Z]{16}\b"),
+    ("github-token", r"\bgh[pousr]_[A-Za-z0-9]{20,}\b"),
+    ("slack-token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
+    ("stripe-key", r"\b[sr]k_(live|test)_[A-Za-z0-9]{10,}\b"),
+    ("google-key", r"\bAIza[0-9A-Za-z_-]{35}"),
+    ("npm-token", r"\bnpm_[A-Za-z0-9]{36}\b"),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    ("auth-header", r"(?i)\b(bearer|basic) [A-Za-z0-9._~+/=-]{16,}"),
+    ("url-credentials", r"://[^/\s:@]+:[^/\s:@]+@"),
+    ("password", r"(?i)\b(password|passwd|secret|token|api_key) ?= ?\"?[A-Za-z0-9_./+-]{8,}\"?"),
+]
+
+#: Injection patterns by name.
+INJECTIONS = [
+    ("ignore-previous", r"(?i)ignore (all |any )?(previous|prior|above) (instructions|prompts)"),
+    ("disregard", r"(?i)disregard (the|all|any|your) "),
+    ("system-prompt", r"(?i)(system|developer) prompt"),
+    ("role-play", r"(?i)you are now "),
+    ("reveal", r"(?i)(reveal|print|show) (your|the) (instructions|prompt|rules)"),
+    ("tool-call", r"(?i)<(tool|function)_call"),
+    ("override", r"(?i)new instructions:"),
+    ("exfiltrate", r"(?i)(send|post|upload) .{0,40}(password|secret|token)"),
+]
+
+
+def replaced(c: Column, rules: list[tuple[str, str]]) -> Column:
+    return reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, c)
+
+
+def normalized(c: Column) -> Column:
+    """Volatile parts (times, ids, addresses, hex runs, integers) replaced by their class."""
+    return replaced(c, VOLATILE)
+
+
+def redacted(c: Column, custom: list[tuple[str, str]] = ()) -> Column:
+    """Secrets replaced by [REDACTED:class]; doing it twice changes nothing."""
+    return replaced(c, [(p, f"[REDACTED:{k}]") for k, p in [*SECRETS, *custom]])
+
+
+def injections(c: Column) -> Column:
+    """Names of the matching patterns, in order."""
+    return F.filter(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in INJECTIONS]), lambda x: x.isNotNull())
+
+
+def token_estimate(c: Column, per: float = BYTES_PER_TOKEN["text"]) -> Column:
+    """Bytes over bytes a token; wide characters count one each."""
+    wide = F.regexp_count(c, F.lit(WIDE)).cast("long")
+    return F.ceil((F.octet_length(c) - 3 * wide) / per).cast("long") + wide
+
+
+def content_class(c: Column, sample: int = 4096) -> Column:
+    """wide, dense or text, by a sample of the first characters."""
+    s = F.left(c, F.lit(sample))
+    n, blanks = F.length(s), F.regexp_count(s, F.lit(r"\s"))
+    full = n - blanks
+    wide, alphabet = F.regexp_count(s, F.lit(WIDE)), F.regexp_count(s, F.lit(r"[A-Za-z0-9+/=_-]"))
+    kinds = F.size(F.array_distinct(F.split(s, "")))
+    return F.when((full > 0) & (wide >= 0.3 * full), "wide").when((n >= 200) & (blanks < 0.05 * n) & (kinds >= 16) & (alphabet >= 0.95 * n), "dense").otherwise("text")
+
+
+def error_prefix(c: Column, length: int = 60) -> Column:
+    """First line with paths, quoted parts and digits masked, cut."""
+    line = F.split(c, "\n", 2)[0]
+    return F.left(replaced(line, [(r"(/[A-Za-z0-9_.-]+)+", "<path>"), (r"\"[^\"]*\"|'[^']*'", "<quoted>"), (r"[0-9]+", "#")]), F.lit(length))
+
+
+def markup_text(c: Column) -> Column:
+    """Comments, scripts and styles dropped, tags as blanks, white space folded, entities of five kinds decoded."""
+    out = replaced(c, [(r"(?s)<!--.*?-->", " "), (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), (r"(?s)<[^>]+>", " ")])
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return F.trim(F.regexp_replace(out, r"[ \t\n\r\f\x0B]+", " "))
+
+
+def path_depth(path: Column) -> Column:
+    return (F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))).cast("long")
+
+
+def lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(*keep, n, line): a row for each line, numbered from 0."""
+    return df.select(*keep, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("n", "line")).withColumn("n", F.col("n").cast("long"))
