@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
-
 FAN, PIECE, DIGITS = 8, 96, 6
 
 
@@ -84,8 +82,8 @@ def differences(pairs: DataFrame, a: str, b: str, fan: int = FAN) -> DataFrame:
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 20_000) -> DataFrame:
     """Rows (key, text, next_text): next by descending key (null keys last, ties by text); after the last, the first.
 
-    Keys are dealt to ranges of about `rows` rows; each range is ordered by itself, and a range's last row takes the
-    first row of the next range that has one. Only one row of each range meets the others.
+    Keys are dealt to ranges of about `rows` rows; each range is ordered by itself, with the first row of the next
+    range that has one put after it. Only one row of each range meets the others, and texts are shuffled once.
     """
     base = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     ids = base.select("k")
@@ -101,15 +99,14 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: in
         g = F.size(F.filter(coarse, lambda c: c < F.col("k"))) - 1
         where = F.when(F.col("k").isNull(), F.lit(-1)).when(g < 0, F.lit(0)).otherwise(g * step + F.size(F.filter(F.get(groups, g), lambda c: c < F.col("k"))))
     base = base.withColumn("part", where.cast("int"))
-    order = [F.col("k").desc_nulls_last(), F.col("t").asc()]
-    w = Window.partitionBy("part").orderBy(*order)
-    mine = base.withColumns({"next": F.lead(F.struct("t")).over(w), "first": F.row_number().over(w) == 1})
-    mine = materialize(mine, "next")
-    firsts = mine.where("first").select("part", F.col("t").alias("ft")).withColumn("g", F.lit(0))
+    tops = base.groupBy("part").agg(F.max("k").alias("top"))
+    firsts = base.join(tops.withColumnRenamed("part", "_p"), (F.col("part") == F.col("_p")) & F.col("k").eqNullSafe(F.col("top"))).groupBy("part").agg(F.min("t").alias("ft")).withColumn("g", F.lit(0))
     # one row for each range, 10,000 at most: the first row of the range below, around the end
-    ring = firsts.withColumn("below", F.coalesce(F.lead("ft").over(Window.partitionBy("g").orderBy(F.col("part").desc())), F.first("ft").over(Window.partitionBy("g").orderBy(F.col("part").desc()))))
-    ends = mine.where("next IS NULL").join(ring.select("part", "below"), "part").select("k", "t", F.col("below").alias("next_text"))
-    return mine.where("next IS NOT NULL").select("k", "t", F.col("next.t").alias("next_text")).unionByName(ends).toDF(key, text, "next_text")
+    down = Window.partitionBy("g").orderBy(F.col("part").desc())
+    below = firsts.select("part", F.coalesce(F.lead("ft").over(down), F.first("ft").over(down)).alias("t"))
+    both = base.withColumn("after", F.lit(0)).unionByName(below.select(F.lit(None).cast(base.schema["k"].dataType).alias("k"), "t", "part", F.lit(1).alias("after")))
+    w = Window.partitionBy("part").orderBy("after", F.col("k").desc_nulls_last(), "t")
+    return both.withColumn("next", F.lead("t").over(w)).where("after = 0").select("k", "t", "next").toDF(key, text, "next_text")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
