@@ -106,3 +106,51 @@ def path_depth(path: Column) -> Column:
 def lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """(*keep, n, line): a row for each line, numbered from 0."""
     return df.select(*keep, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("n", "line")).withColumn("n", F.col("n").cast("long"))
+
+
+def without_ansi(c: Column) -> Column:
+    """Terminal escapes (colours, cursor moves, titles) removed."""
+    return replaced(c, [(r"\x1B\][^\x07]*\x07", ""), (r"\x1B\[[0-9;?]*[A-Za-z]", ""), (r"\x1B[()][A-Z0-9]", "")])
+
+
+def dotenv_redacted(c: Column) -> Column:
+    """KEY=value lines with the value masked; comments and keys stay."""
+    return F.regexp_replace(c, r"(?m)^(\s*(?:export\s+)?[A-Za-z_][A-Za-z0-9_]*\s*=)[^\n]+$", "$1[REDACTED:dotenv]")
+
+
+def entities_decoded(c: Column) -> Column:
+    """The five named entities of markup, &amp; last."""
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(sign))
+    return c
+
+
+def entities_escaped(c: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
+def clock_ms(c: Column) -> Column:
+    """Milliseconds of [hh:]mm:ss.mmm; null for other text."""
+    parts = F.split(F.replace(c, F.lit(","), F.lit(".")), ":")
+    ms = F.aggregate(parts, F.lit(0.0), lambda a, x: a * 60 + F.coalesce(x.try_cast("double"), F.lit(0.0))) * 1000
+    return F.when(c.rlike(r"^([0-9]+:)?[0-9]{1,2}:[0-9]{2}[.,][0-9]{1,3}$"), F.round(ms).cast("long"))
+
+
+def packed(df: DataFrame, text: str, out: str = "packed") -> DataFrame:
+    """df with `out`: base64 of the deflated text where that is shorter, else null."""
+    import base64
+    import zlib
+
+    @F.pandas_udf("string")
+    def run(texts):
+        def one(t):
+            if t is None:
+                return None
+            b = base64.b64encode(zlib.compress(t.encode(), 9)).decode()
+            return b if len(b) < len(t.encode()) else None
+
+        return texts.map(one)
+
+    return df.withColumn(out, run(F.col(text)))

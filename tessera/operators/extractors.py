@@ -177,3 +177,28 @@ def extracted(df: DataFrame, text: str, extract: Callable[..., Iterator[tuple]],
             yield pd.DataFrame(out, columns=names)
 
     return df.select(*cols).mapInPandas(run, f"{kinds}, {schema}")
+
+
+FOLDS = "lo int, hi int, kind string"
+
+
+def folds(path: str, content: str, least: int = 4) -> Iterator[tuple]:
+    """Line ranges that a reader can skip: bodies of definitions, blocks of comment lines, long prose paragraphs."""
+    rows = content.splitlines()
+    for name, kind, lo, hi, _ in symbols(path, content):
+        if kind not in ("class",) and not kind.startswith("h") and hi - lo >= least:
+            yield lo + 1, hi, "body"
+    sign = "#" if language(path) in ("python", "ruby") else "//" if language(path) not in (None, "markdown", "sql") else "--" if language(path) == "sql" else None
+    start = None
+    for i, r in enumerate([*rows, ""], 1):
+        note = sign is not None and r.strip().startswith(sign)
+        if note and start is None:
+            start = i
+        elif not note and start is not None:
+            if i - start >= least:
+                yield start, i - 1, "comment"
+            start = None
+    if language(path) == "markdown":
+        for i, r in enumerate(rows, 1):
+            if len(r) > 600 and not r.startswith(("#", "|", "-", ">")):
+                yield i, i, "prose"

@@ -75,3 +75,31 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFr
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by `order`: what an upsert leaves."""
     return top_per_group(df, keys, [F.desc(c) for c in order], 1)
+
+
+def resolved(imports: DataFrame, files: DataFrame, endings: tuple[str, ...] = ("", ".ts", ".js", ".py", "/index.ts", "/index.js", "/__init__.py")) -> DataFrame:
+    """imports(src, spec) with dst: the first existing file of spec, relative to src's folder, by ending; null for none.
+
+    . and .. are folded; specs that aren't relative stay unresolved. Candidates are exploded and joined by equality.
+    """
+    folder = F.regexp_replace("src", "[^/]*$", "")
+    parts = F.split(F.concat(folder, "spec"), "/")
+    step = lambda a, x: F.when(x.isin("", "."), a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+    base = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    tries = F.posexplode(F.array(*[F.concat(F.col("_base"), F.lit(e)) for e in endings]))
+    rows = imports.select("src", "spec").distinct()
+    local = rows.where(F.col("spec").startswith(".")).select("src", "spec", base.alias("_base")).select("src", "spec", tries.alias("_p", "dst"))
+    best = local.join(files.select(F.col("path").alias("dst")), "dst").groupBy("src", "spec").agg(F.min_by("dst", "_p").alias("dst"))
+    return rows.join(best, ["src", "spec"], "left")
+
+
+def bootstrap(df: DataFrame, key: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
+    """(low, high): a 95 % interval of the mean by `draws` seeded resamples, by Poisson weights in one pass.
+
+    Each row's weight in a draw depends on its key and the draw alone, so any partitioning gives the same.
+    """
+    u = (F.pmod(F.xxhash64(F.col(key), F.col("draw"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    weight = F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).when(u < 0.9963401531726563, 4).otherwise(5)
+    rows = df.select(key, value).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
+    means = rows.groupBy("draw").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
+    return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))

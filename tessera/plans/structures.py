@@ -165,3 +165,40 @@ def q_stateful_skip(s, d):
 def q_json_path(s, d):
     out = jsonpath.select(T(s, d, "events").select("event_id", F.concat(F.lit('{"items":['), "props", F.lit("]}")).alias("doc")), "doc", "items[-1].k")
     return out.select("event_id", F.col("found")[0].alias("first"))
+
+
+@query("WITH RECURSIVE f AS (SELECT 'src/' || p_brand || '/' || replace(p_name, ' ', '_') || '.ts' AS path FROM part GROUP BY 1), i AS (SELECT DISTINCT 'src/' || p_brand || '/main.ts' AS src, './' || replace(p_name, ' ', '_') AS spec, 'src/' || p_brand || '/' || replace(p_name, ' ', '_') || '.ts' AS want FROM part UNION SELECT DISTINCT 'src/' || p_brand || '/main.ts', '../Brand#1/' || replace(p_name, ' ', '_'), 'src/Brand#1/' || replace(p_name, ' ', '_') || '.ts' FROM part) SELECT src, spec, path AS dst FROM i LEFT JOIN f ON path = want")
+def q_import_resolve(s, d):
+    from tessera.operators import relations
+
+    p = T(s, d, "part").select("p_brand", F.replace("p_name", F.lit(" "), F.lit("_")).alias("n"))
+    files = p.select(F.concat(F.lit("src/"), "p_brand", F.lit("/"), "n", F.lit(".ts")).alias("path")).distinct()
+    src = F.concat(F.lit("src/"), "p_brand", F.lit("/main.ts")).alias("src")
+    specs = p.select(src, F.concat(F.lit("./"), "n").alias("spec")).union(p.select(src, F.concat(F.lit("../Brand#1/"), "n")))
+    return relations.resolved(specs, files)
+
+
+@query("SELECT doc_id, sha256(regexp_replace('KEY=' || source || chr(10) || '# note' || chr(10) || 'export B_2 = x', '(?m)^(\\s*(?:export\\s+)?[A-Za-z_][A-Za-z0-9_]*\\s*=)[^\\n]+$', '\\1[REDACTED:dotenv]', 'g')) AS sha FROM documents")
+def q_dotenv_redact(s, d):
+    env = F.concat(F.lit("KEY="), "source", F.lit("\n# note\nexport B_2 = x"))
+    return T(s, d, "documents").select("doc_id", F.sha2(X.dotenv_redacted(env), 256).alias("sha"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY (lpad(doc_id::VARCHAR, 9, '0') <= '000000150')::INT, doc_id LIMIT 100")
+def q_sweep(s, d):
+    files = T(s, d, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"))
+    return ingest.sweep(files, "000000150", 100).select("doc_id")
+
+
+@query()
+def q_tool_filter(s, d):
+    from tessera.operators import toolfilters
+
+    runs = T(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "git status").otherwise("ls").alias("command"), F.concat("text", F.lit('\n\n  (use "git add" to update)\n')).alias("output"))
+    return toolfilters.filtered(runs, "command", "output", ["doc_id"]).select("doc_id", "filter", "bytes_before", "bytes_after")
+
+
+@query()
+def q_stream_streaks(s, d):
+    rows = event_stream(s, d).select(F.col("user_id").alias("lane"), F.col("event_id").alias("seq"), F.col("event_type").isin("click", "view").alias("test"))
+    return ingest.drained(ingest.streaks(rows))

@@ -48,3 +48,37 @@ def drained_complete(df: DataFrame) -> DataFrame:
 
     df.writeStream.outputMode("complete").option("checkpointLocation", mark).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{root}/{last[-1]}") if last else spark.createDataFrame([], df.schema)
+
+
+def sweep(files: DataFrame, cursor: str | None, most: int) -> DataFrame:
+    """The next `most` rows of files(path, ...) after the cursor, in path order, from the start again at the end.
+
+    The caller keeps the last path as the next cursor; each file comes up once in every round.
+    """
+    wrapped = F.col("path") <= cursor if cursor is not None else F.lit(False)
+    return files.withColumn("_late", wrapped.cast("int")).orderBy("_late", "path").limit(most).drop("_late")
+
+
+def streaks(events: DataFrame, least: int = 3, most_rows: int = 2) -> DataFrame:
+    """Live runs of `test` rows of a stream (lane, seq, test): (lane, first, length) when a run reaches `least`.
+
+    State is one number pair and a count for each lane; a lane reports `most_rows` times at most.
+    """
+    import pandas as pd
+
+    def step(key, frames, state):
+        first, length, told = state.get if state.exists else (0, 0, 0)
+        out = []
+        rows = pd.concat(list(frames)).sort_values("seq")
+        for seq, test in zip(rows["seq"], rows["test"]):
+            if not test:
+                first, length = 0, 0
+                continue
+            first, length = (first, length + 1) if length else (int(seq), 1)
+            if length == least and told < most_rows:
+                told += 1
+                out.append((key[0], first, length))
+        state.update((first, length, told))
+        yield pd.DataFrame(out, columns=["lane", "first", "length"]).astype({"first": "int64", "length": "int64"})
+
+    return events.groupBy("lane").applyInPandasWithState(step, "lane long, first long, length long", "first long, length long, told long", "append", "NoTimeout")

@@ -209,3 +209,21 @@ def test_xlsx(spark, tmp_path):
     (tmp_path / "w.xlsx").write_bytes(buf.getvalue())
     cells = files.parsed(spark, str(tmp_path), files.xlsx_cells, files.CELLS, "*.xlsx")
     assert [r.asDict() for r in files.sheet_table(cells, "S").collect()] == [{"name": "x", "day": "2024-01-01"}]
+
+
+def test_small_additions(spark):
+    from tessera.operators import toolfilters
+
+    r = spark.createDataFrame([("\x1b[31mred\x1b[0m", "A=1\n# c\n", "a &lt;b&gt; &amp;lt;", "01:02:03.500")], "a string, e string, x string, c string").select(X.without_ansi(F.col("a")).alias("a"), X.dotenv_redacted(F.col("e")).alias("e"), X.entities_decoded(F.col("x")).alias("x"), X.entities_decoded(X.entities_escaped(F.lit("<&'\">"))).alias("rt"), X.clock_ms(F.col("c")).alias("ms"), X.clock_ms(F.lit("no")).alias("none")).first()
+    assert (r.a, r.e, r.x, r.rt, r.ms, r.none) == ("red", "A=[REDACTED:dotenv]\n# c\n", "a <b> &lt;", "<&'\">", 3723500, None)
+    text = "a PASSED\nb PASSED\nE error here PASSED\n"
+    assert toolfilters.reduced("/usr/bin/pytest -q", text) == ("E error here PASSED", "tests")
+    assert toolfilters.reduced("ls", text) == (text, None) and toolfilters.dispatch("npm run x") is None and toolfilters.dispatch("npm install x").name == "packages"
+    packed = X.packed(spark.createDataFrame([("a" * 500,), ("x",), (None,)], "t string"), "t").collect()
+    assert [p.packed is not None for p in packed] == [True, False, False]
+    imports = spark.createDataFrame([("a/b/m.ts", "./x"), ("a/b/m.ts", "../y"), ("a/b/m.ts", "lib"), ("a/b/m.ts", "./none")], "src string, spec string")
+    found = spark.createDataFrame([("a/b/x.js",), ("a/b/x.ts",), ("a/y/index.ts",)], "path string")
+    assert {r.spec: r.dst for r in relations.resolved(imports, found).collect()} == {"./x": "a/b/x.ts", "../y": "a/y/index.ts", "lib": None, "./none": None}
+    ci = relations.bootstrap(spark.range(400).select("id", (F.col("id") % 2).cast("double").alias("v")), "id", "v").first()
+    assert 0.4 < ci.low < 0.5 < ci.high < 0.6
+    assert list(extractors.folds("a.py", "# 1\n# 2\n# 3\n# 4\ndef f():\n    a\n    b\n    c\n    d\n")) == [(6, 9, "body"), (1, 4, "comment")]
