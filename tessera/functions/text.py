@@ -64,9 +64,9 @@ def redacted(c: Column, custom: list[tuple[str, str]] = ()) -> Column:
     return replaced(c, [(p, f"[REDACTED:{k}]") for k, p in [*SECRETS, *custom]])
 
 
-def injections(c: Column) -> Column:
+def injections(c: Column, patterns: list[tuple[str, str]] = INJECTIONS) -> Column:
     """Names of the matching patterns, in order."""
-    return F.filter(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in INJECTIONS]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in patterns]), lambda x: x.isNotNull())
 
 
 def token_estimate(c: Column, per: float = BYTES_PER_TOKEN["text"]) -> Column:

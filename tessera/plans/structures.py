@@ -13,11 +13,14 @@ from tessera.session import table as T
 from tessera.sources import markup
 from tessera.streaming import ingest
 
-_EDGES = "SELECT DISTINCT (o_custkey % 150)::BIGINT AS src, (o_orderkey * 7 % 150)::BIGINT AS dst FROM orders WHERE o_orderkey % 40 = 0"
+_EDGES = "SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1"
 
 
 def edges(s, d):
-    return T(s, d, "orders").where("o_orderkey % 40 = 0").selectExpr("o_custkey % 150 AS src", "o_orderkey * 7 % 150 AS dst").distinct()
+    """Customers, linked from each order to the one after it."""
+    o = T(s, d, "orders")
+    after = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("dst"))
+    return o.select("o_orderkey", F.col("o_custkey").alias("src")).join(after, "o_orderkey").select("src", "dst").distinct()
 
 
 @query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT (SELECT min(src) FROM e) AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM r JOIN e ON node = src WHERE hop < 6) SELECT node, min(hop)::INT AS hop FROM r GROUP BY 1")
@@ -44,16 +47,18 @@ def q_degree_hubs(s, d):
     return graph.degrees(edges(s, d))
 
 
-@query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON b = src), m AS (SELECT x.a AS node, least(x.a, min(x.b)) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a) SELECT node, scc FROM m")
+@query()
 def q_scc(s, d):
     return graph.cycles(edges(s, d))
 
 
 def weighted(s, d):
-    return T(s, d, "orders").selectExpr("least(o_custkey % 60, o_orderkey * 7 % 60) AS a", "greatest(o_custkey % 60, o_orderkey * 7 % 60) AS b").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
+    """The same links, undirected, weighted by their number."""
+    e = edges(s, d).where("src <> dst")
+    return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("w"))
 
 
-_WEIGHTED = "SELECT least(o_custkey % 60, o_orderkey * 7 % 60)::BIGINT AS a, greatest(o_custkey % 60, o_orderkey * 7 % 60)::BIGINT AS b, count(*) AS w FROM orders WHERE o_custkey % 60 <> o_orderkey * 7 % 60 GROUP BY 1, 2"
+_WEIGHTED = f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS w FROM ({_EDGES}) WHERE src <> dst GROUP BY 1, 2"
 
 
 @query()

@@ -106,18 +106,24 @@ def q_error_prefix(s, d):
     return T(s, d, "pages").select("page_id", X.error_prefix(F.col("url")).alias("prefix"))
 
 
-@query("""SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '(?i)on the ') THEN 'on-the' END, CASE WHEN regexp_matches(text, '(?i)you are now ') THEN 'role-play' END, CASE WHEN regexp_matches(text, '(?i)licensed under') THEN 'license' END], lambda x: x IS NOT NULL) AS found FROM documents""")
+_SCANS = [*X.INJECTIONS, ("on-the", r"(?i)on the "), ("license", r"(?i)licensed under")]
+
+
+@query("SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in _SCANS) + "], lambda x: x IS NOT NULL) AS found FROM documents")
 def q_injection_scan(s, d):
-    c = F.col("text")
-    names = [("on-the", r"(?i)on the "), ("role-play", dict(X.INJECTIONS)["role-play"]), ("license", r"(?i)licensed under")]
-    return docs(s, d).select("doc_id", F.filter(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in names]), lambda x: x.isNotNull()).alias("found"))
+    return docs(s, d).select("doc_id", X.injections(F.col("text"), _SCANS).alias("found"))
+
+
+def _redacted_sql(text):
+    for k, p in X.SECRETS:
+        text = f"regexp_replace({text}, '{p}', '[REDACTED:{k}]', 'g')"
+    return text
 
 
-@query("""SELECT doc_id, sha256(regexp_replace(text, '(?i)\\b(password|passwd|secret|token|api_key) ?= ?"?[A-Za-z0-9_./+-]{8,}"?', '[REDACTED:password]', 'g')) AS clean_sha, regexp_matches(text, '(?i)\\b(password|passwd|secret|token|api_key) ?= ?"?[A-Za-z0-9_./+-]{8,}"?') AS had_secret FROM documents WHERE NOT regexp_matches(text, 'AKIA|ASIA|gh[pousr]_|xox|sk_|rk_|AIza|npm_|eyJ|(?i)bearer|basic|BEGIN|://')""")
+@query(f"SELECT doc_id, sha256(clean) AS clean_sha, clean <> text AS had_secret FROM (SELECT doc_id, text, {_redacted_sql('text')} AS clean FROM documents)")
 def q_redact(s, d):
-    plain = docs(s, d).where(~F.col("text").rlike("AKIA|ASIA|gh[pousr]_|xox|sk_|rk_|AIza|npm_|eyJ|(?i)bearer|basic|BEGIN|://"))
-    clean = X.redacted(F.col("text"))
-    return plain.select("doc_id", F.sha2(clean, 256).alias("clean_sha"), F.col("text").rlike(dict(X.SECRETS)["password"]).alias("had_secret"))
+    clean = docs(s, d).select("doc_id", "text", X.redacted(F.col("text")).alias("clean"))
+    return clean.select("doc_id", F.sha2("clean", 256).alias("clean_sha"), (F.col("clean") != F.col("text")).alias("had_secret"))
 
 
 @query("""SELECT doc_id, n, line FROM (WITH l AS (""" + _LINES + """) SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM l WHERE contains(lower(line), 'with the')) WHERE r <= 3""")
