@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -189,33 +187,7 @@ class Forest:
         return i != j
 
 
-def runs(batches: Iterable, column: str) -> Iterator:
-    """Rows of consecutive equal `column` values from sorted Arrow batches, one table for each value."""
-    import pyarrow as pa
-
-    held: list = []
-    value = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes = batch.column(column)
-        keys = codes.to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if held and keys[lo] != value:
-                yield pa.Table.from_batches(held)
-                held = []
-            value = keys[lo]
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only. lower() does it where no other character has another lower case; else translate()."""
     exact = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.when(c.rlike(r"[[\p{IsUppercase}\p{Lt}]&&[^A-Z]]"), exact).otherwise(F.lower(c))
-
-
-def no_rows(c: str) -> Column:
-    return F.array().cast(c)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, blocked, connected, discard, gram_hashes, materialize
+from tessera.llm.common import WordHashes, blocked, connected, gram_hashes, materialize
 
 VALUES, CHUNKS, ERRORS = 32, 8, 15
 SHINGLE = 5
@@ -220,6 +220,3 @@ def deduplicated(docs: DataFrame, least: int = 80, key: str = "doc_id", text: st
     """Rows of docs, all columns as they are, one document of each component; repeated rows of that one all stay."""
     dropped = components(docs, least, key, text).where("id <> component_id").select(F.col("id").alias("_dropped")).distinct()
     return docs.join(dropped, F.col(f"`{key}`").cast("long") == F.col("_dropped"), "left_anti")
-
-
-__all__ = ["components", "deduplicated", "discard", "near_duplicates", "shingle_set", "signature"]
