@@ -9,12 +9,13 @@ calibrated by a temperature on rows that it wasn't trained on. Labels, lang, sou
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,24 +31,36 @@ class Terms(dict):
     def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
+        self.shapes: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        t = self[word] = xxhash.xxh32_intdigest(word) % WORDS + WORDS * (xxhash.xxh32_intdigest(shape(word), seed=1) % SHAPES)
+            self.shapes.clear()
+        s = shape(word)
+        term = self.shapes.get(s)
+        if term is None:
+            term = self.shapes[s] = WORDS * (xxhash.xxh32_intdigest(s, seed=1) % SHAPES)
+        t = self[word] = xxhash.xxh32_intdigest(word) % WORDS + term
         return t
 
 
-_CLASSES = [(regex.compile(p), c) for p, c in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"\p{L}+", "l"), (r"\p{N}+", "0"))]
-_SAME = regex.compile(r"(.)\1+", regex.S)
+class _Signs(dict):
+    """Code point -> sign of its class, filled as characters come up; for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        kind = unicodedata.category(chr(code))
+        sign = self[code] = {"Lu": "A", "Ll": "a"}.get(kind) or ("l" if kind[0] == "L" else "0" if kind[0] == "N" else chr(code))
+        return sign
+
+
+_SIGNS = _Signs()
+_RUNS = re.compile(r"(.)\1+", re.S)
 
 
 def shape(word: str) -> str:
     """Runs of upper, lower and other letters and of digits as one sign each; other signs once for each run."""
-    out = word[:64]
-    for p, c in _CLASSES:
-        out = p.sub(lambda _, c=c: c, out) if c == "A" else p.sub(lambda m, c=c: m[0] if m[0] in ("A", "a", "l") else c, out)
-    return _SAME.sub(r"\1", out)[:8]
+    return _RUNS.sub(r"\1", word[:64].translate(_SIGNS))[:8]
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +129,7 @@ def features(texts: list[str | None], table: np.ndarray, terms: Terms) -> np.nda
         if len(full):
             starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
             for k, ids in enumerate((words, shapes + WORDS)):
-                x[full, k * DIM : k * DIM + DIM] = np.add.reduceat(table[ids], starts, axis=0, dtype=np.float64) / n[full, None]
+                x[full, k * DIM : k * DIM + DIM] = np.add.reduceat(table[ids], starts, axis=0) / n[full, None]
             again = np.concatenate([[False], words[1:] == words[:-1]]).astype(np.float64)
             again[starts] = 0
             x[full, 2 * DIM] = np.array(distinct)[full]
