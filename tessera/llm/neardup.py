@@ -117,7 +117,7 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _signature_links(ratio: float):
+def _signature_links(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, bounds in _groups(batches):
             ids, size, side = cols["id"], cols["n"], cols["side"]
@@ -128,7 +128,7 @@ def _signature_links(ratio: float):
             if len(two):
                 d = (sig[two] != sig[two + 1]).sum(axis=1)
                 low, high = np.minimum(size[two], size[two + 1]), np.maximum(size[two], size[two + 1])
-                good = two[(d <= ERRORS) & (low >= ratio * high)]
+                good = two[(d <= ERRORS) & (100 * low >= least * high)]
                 a += ids[good].tolist()
                 b += ids[good + 1].tolist()
             for lo, hi in bounds:
@@ -136,7 +136,7 @@ def _signature_links(ratio: float):
                     s, z, e = sig[lo:hi], size[lo:hi], side[lo:hi]
 
                     def near(i, rest, s=s, z=z, e=e):
-                        return ((s[rest] != s[i]).sum(axis=1) <= ERRORS) & (np.minimum(z[rest], z[i]) >= ratio * np.maximum(z[rest], z[i])) & ((e[rest] != e[i]) | (e[i] == 0))
+                        return ((s[rest] != s[i]).sum(axis=1) <= ERRORS) & (100 * np.minimum(z[rest], z[i]) >= least * np.maximum(z[rest], z[i])) & ((e[rest] != e[i]) | (e[i] == 0))
 
                     for i, j in _forest(hi - lo, near):
                         a.append(ids[lo + i])
@@ -189,7 +189,7 @@ def components(docs: DataFrame, least: int = 85, key: str = "doc_id", text: str
     without words, have no shingles and are linked with nothing; rows with a null key are linked with nothing and have
     a null component. Equal texts under several keys are one component; repeated rows get the same result each.
     """
-    ratio = least / 100
+    ratio = 0.999 * least / 100  # bands a little wider than needed, so that rounding loses no pair
     sigs = materialize(signatures(docs, key, text, n), "signatures")
     whole = sigs.where("set_hi IS NOT NULL AND id IS NOT NULL")
     classes = materialize(whole.groupBy("set_hi", "set_lo").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), *[F.min(c).alias(c) for c in COLUMNS]), "classes")
@@ -197,7 +197,7 @@ def components(docs: DataFrame, least: int = 85, key: str = "doc_id", text: str
     keys = classes.select(F.col("rep").alias("id"), "n", F.explode(F.array(*masked)).alias("key"))
     units = blocked(keys, "key", "n", "id", most, ratio).select(F.xxhash64("unit").alias("unit"), "side", "id", "n")
     units = units.join(classes.select(F.col("rep").alias("id"), *COLUMNS), "id").repartition("unit").sortWithinPartitions("unit")
-    rough = units.select("unit", "side", "id", "n", *COLUMNS).mapInArrow(_signature_links(ratio), "a long, b long")
+    rough = units.select("unit", "side", "id", "n", *COLUMNS).mapInArrow(_signature_links(least), "a long, b long")
     groups = materialize(connected(rough, "rough"), "groups")
     sized = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id")
     units = blocked(sized, "component", "n", "id", most // 2, ratio).select(F.xxhash64("unit").alias("unit"), "side", "id")
