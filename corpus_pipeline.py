@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, mixing, neardup, quality, sharding
 from tessera.llm.common import materialize, shared_folder, table
 
+#: Items whose windows must occur for a document to go; op10's column `contaminated` has a limit of its own.
+LEAST_ITEMS = 1
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -22,8 +25,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of two benchmark items or more go."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark item, or a window of eight of its words, go: one item alone is enough."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), LEAST_ITEMS)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
