@@ -4,17 +4,22 @@ append() writes arrivals as small immutable runs, without a shuffle. compact() p
 one tier (sizes within a factor of four) are laid end to end and cut at the target size, so similarly sized runs merge
 into files of about the target; a run above it is dealt to several. The rows are then moved once, a versioned manifest
 is written, and the version is committed by renaming one small file: readers see the old or the new version, whole.
+
+A version holds all rows committed before it. Shards of earlier versions stay where they are and the manifest refers to
+them, until FULL of one region are of one tier and under half the target: those are laid end to end with the new runs
+of that tier and merged. Files of merged shards are kept for readers of the versions that refer to them.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TARGET, ARRIVAL, REGION = 64 << 20, 16384, 256
+TARGET, ARRIVAL, REGION, FULL = 64 << 20, 16384, 256, 4
 
 
 def _fs(spark: SparkSession, path: str):
@@ -69,15 +74,18 @@ def append(docs: DataFrame, root: str, key: str = "doc_id", source: str = "sourc
     return path
 
 
+def _tier() -> Column:
+    return F.floor((F.length(F.bin("bytes")) - 1) / 2).cast("int")
+
+
 def plan(runs: DataFrame, target: int = TARGET) -> DataFrame:
     """runs(slot, run, docs, bytes) with tier, parts (over 1: the run alone makes that many shards) and shard.
 
     Runs are ordered within (tier, region of REGION slots), so no window grows with the input. A shard name holds its
     tier, region and number.
     """
-    tier = F.floor((F.length(F.bin("bytes")) - 1) / 2).cast("int")
     region = F.floor(F.col("slot") / REGION).cast("long")
-    runs = runs.withColumns({"tier": tier, "region": region, "parts": F.greatest(F.lit(1), F.ceil(F.col("bytes") / target)).cast("int")})
+    runs = runs.withColumns({"tier": _tier(), "region": region, "parts": F.greatest(F.lit(1), F.ceil(F.col("bytes") / target)).cast("int")})
     before = F.sum(F.when(F.col("parts") == 1, F.col("bytes")).otherwise(0)).over(Window.partitionBy("tier", "region").orderBy("slot", "run").rowsBetween(Window.unboundedPreceding, -1))
     number = F.floor(F.coalesce(before, F.lit(0)) / target).cast("long")
     name = F.concat_ws("-", F.concat(F.lit("t"), "tier"), F.concat(F.lit("r"), "region"), number.cast("string"))
@@ -88,21 +96,57 @@ def _bytes(c: str) -> Column:
     return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
 
 
+def _live(spark: SparkSession, base: str, shards: DataFrame) -> DataFrame:
+    """Rows of those files under base that shards(base, file) names."""
+    return spark.read.parquet(f"{base}/shards").join(shards.where(F.col("base") == base).select("file"), "file", "left_semi")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def full(shards: DataFrame, target: int = TARGET) -> DataFrame:
+    """The shards(region, bytes) to merge: under half the target, FULL or more of one tier in one region."""
+    small = shards.where(F.col("bytes") * 2 < target).withColumn("_tier", _tier())
+    return small.join(small.groupBy("_tier", "region").count().where(F.col("count") >= FULL), ["_tier", "region"], "left_semi").drop("_tier")
+
+
 def compact(spark: SparkSession, root: str, arrivals: list[str], key: str = "doc_id", text: str = "text", target: int = TARGET) -> dict:
-    """Merge the arrivals into shards of about `target` bytes of text and commit them as the next version."""
-    rows = spark.read.parquet(*arrivals)
-    sizes = rows.groupBy("slot", "run").agg(F.count("*").alias("docs"), F.sum(_bytes(f"row.`{text}`")).alias("bytes"))
-    version = (versions(spark, root) or [0])[-1] + 1
+    """Merge the arrivals, and full tiers of earlier shards, into shards of about `target` bytes of text; commit the version.
+
+    The version's manifest has the new shards and, by reference, all earlier ones that weren't merged.
+    """
+    version = (versions(spark, root) or [0])[-1] + 1  # before the last one is read: if another writer commits in between, commit() fails
+    last = committed(spark, root)
     base = f"{root}/versions/{version:08d}-{uuid.uuid4().hex}"
-    plan(sizes, target).write.parquet(f"{base}/runs")
-    runs = spark.read.parquet(f"{base}/runs")
-    moved = rows.join(runs.select("slot", "run", "tier", "parts", "shard"), ["slot", "run"])
+    rows = _union([spark.read.parquet(path) for path in arrivals]).withColumn("unit", F.col("run"))
+    sizes = rows.groupBy("slot", "unit").agg(F.count("*").alias("docs"), F.sum(_bytes(f"row.`{text}`")).alias("bytes"))
+    earlier = manifest(spark, root) if last and last["base"] else None
+    if earlier is not None:
+        full(earlier, target).write.parquet(f"{base}/merged")
+        merged = spark.read.parquet(f"{base}/merged")
+        slot, unit = (F.col("region") * REGION).alias("slot"), F.concat_ws(":", F.lit("shard"), "version", "file").alias("unit")
+        sizes = sizes.unionByName(merged.select(slot, unit, "docs", "bytes"))
+        named = merged.select("base", "file", slot, unit)
+        for b in [r.base for r in merged.select("base").distinct().collect()]:  # versions at most
+            old = spark.read.parquet(f"{b}/shards").join(named.where(F.col("base") == b).drop("base"), "file")
+            rows = _union([rows, old.select("row", "run", "slot", "unit")])
+    plan(sizes.withColumnRenamed("unit", "run"), target).write.parquet(f"{base}/runs")
+    runs = spark.read.parquet(f"{base}/runs").withColumnRenamed("run", "unit")
+    moved = rows.join(runs.select("slot", "unit", "tier", "parts", "shard"), ["slot", "unit"])
     spread = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(f"row.`{key}`").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(f"row.`{text}`"), F.lit("")))), 1, 8), 16, 10).cast("long")
     shard = F.when(F.col("parts") == 1, F.col("shard")).otherwise(F.concat_ws("-", "shard", (spread % F.col("parts")).cast("string")))
-    moved = moved.select("row", "run", "tier", shard.alias("shard")).withColumn("file", F.sha2("shard", 256).substr(1, 16))
+    if version > 1:  # no two shards of a manifest have one name
+        shard = F.concat(F.lit(f"v{version}-"), shard)
+    file = F.concat(F.lit("s"), F.sha2("shard", 256).substr(1, 16))  # a letter first: never read back as a number
+    moved = moved.select("row", "run", "tier", shard.alias("shard")).withColumn("file", file)
     moved.repartition("file").sortWithinPartitions("file").write.option("compression", "zstd").partitionBy("file").parquet(f"{base}/shards")
-    made = spark.read.parquet(f"{base}/shards").groupBy("file", "shard", "tier").agg(F.count("*").alias("docs"), F.sum(_bytes(f"row.`{text}`")).alias("bytes"))
-    made.withColumn("version", F.lit(version)).write.parquet(f"{base}/manifest")
+    region = F.floor(F.substring_index("run", "/", 1).cast("long") / REGION).cast("long")
+    made = spark.read.parquet(f"{base}/shards").groupBy("file", "shard", "tier").agg(F.count("*").alias("docs"), F.sum(_bytes(f"row.`{text}`")).alias("bytes"), F.min(region).alias("region"))
+    made = made.select("file", "shard", "tier", "docs", "bytes", F.lit(version).alias("version"), "region", F.lit(base).alias("base"))
+    if earlier is not None:
+        made = made.unionByName(earlier.join(merged, ["base", "file"], "left_anti"))
+    made.write.parquet(f"{base}/manifest")
     content = {"version": version, "base": base, "arrivals": arrivals}
     commit(spark, root, version, content)
     for path in arrivals:  # their rows are in the committed version
@@ -112,20 +156,34 @@ def compact(spark: SparkSession, root: str, arrivals: list[str], key: str = "doc
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Rows (file, shard, tier, docs, bytes, version) of the committed version."""
+    """Rows (file, shard, tier, docs, bytes, version, region, base) of the committed version; base/shards holds the file.
+
+    version is the one that wrote the shard.
+    """
     return spark.read.parquet(f"{committed(spark, root)['base']}/manifest")
 
 
+def view(spark: SparkSession, root: str) -> DataFrame:
+    """Rows (row, run, tier, shard) of all shards of the committed version."""
+    last, shards = committed(spark, root)["base"], manifest(spark, root)
+    earlier = [r.base for r in shards.where(F.col("base") != last).select("base").distinct().collect()]  # versions at most
+    parts = [spark.read.parquet(f"{last}/shards"), *[_live(spark, b, shards) for b in earlier]]
+    return _union([p.select("row", "run", "tier", "shard") for p in parts])
+
+
 def sharded(docs: DataFrame, root: str, key: str = "doc_id", text: str = "text", source: str = "source", target: int = TARGET) -> DataFrame:
-    """docs, appended and compacted under root, read back from the committed version with run, tier and shard.
+    """docs, appended and compacted under root, and all rows committed there before, with run, tier and shard.
 
     All columns of docs stay as they are. Null texts have 0 bytes; null keys and sources make runs of their own;
-    repeated rows stay. Empty docs make a version without shards.
+    repeated rows stay. Empty docs make a version without new shards.
     """
     spark = docs.sparkSession
     if docs.isEmpty():
-        commit(spark, root, (versions(spark, root) or [0])[-1] + 1, {"base": None, "arrivals": []})
+        version = (versions(spark, root) or [0])[-1] + 1
+        last = committed(spark, root)
+        commit(spark, root, version, {"version": version, "base": last and last["base"], "arrivals": []})
+    else:
+        compact(spark, root, [append(docs, root, key, source)], key, text, target)
+    if committed(spark, root)["base"] is None:
         return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.lit("").alias("_run"), F.lit(0).alias("_tier"), F.lit("").alias("_shard"))
-    content = compact(spark, root, [append(docs, root, key, source)], key, text, target)
-    rows = spark.read.parquet(f"{content['base']}/shards")
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("run").alias("_run"), F.col("tier").alias("_tier"), F.col("shard").alias("_shard"))
+    return view(spark, root).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("run").alias("_run"), F.col("tier").alias("_tier"), F.col("shard").alias("_shard"))
