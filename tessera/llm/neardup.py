@@ -217,6 +217,18 @@ def near_duplicates(docs: DataFrame, least: int = 85, key: str = "doc_id", text:
 
 
 def deduplicated(docs: DataFrame, least: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of docs, all columns as they are, one document of each component; repeated rows of that one all stay."""
-    dropped = components(docs, least, key, text).where("id <> component_id").select(F.col("id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(f"`{key}`").cast("long") == F.col("_dropped"), "left_anti")
+    """Rows of docs, all columns as they are, one row of each component: that of the smallest key, null keys last.
+
+    Rows are linked by a number of their own, so repeated rows, rows of one key and rows of null key are told apart. Of
+    texts without words, which are linked with nothing, one row of each key and text stays.
+    """
+    row, columns = "_row_of_docs", docs.columns
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = components(docs, least, row, text)
+    k, t = F.col(f"`{key}`").cast("long"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    first = docs.select(F.col(row).alias("id"), F.struct(k.isNull().alias("none"), k.alias("key"), F.md5(t).alias("text"), F.col(row).alias("row")).alias("first"))
+    marked = found.join(first, "id").select("n_shingles", "component_id", "first")
+    kept = marked.where("n_shingles > 0").groupBy("component_id").agg(F.min("first").alias("first")).select("first.row")
+    wordless = marked.where("n_shingles = 0").groupBy("first.key", "first.text").agg(F.min("first.row").alias("row")).select("row")
+    kept = kept.unionByName(wordless).withColumnRenamed("row", "_kept")
+    return docs.join(kept, F.col(row) == F.col("_kept"), "left_semi").select(*[F.col(f"`{c}`") for c in columns])
