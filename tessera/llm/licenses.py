@@ -3,6 +3,7 @@
 Windows have the length of the templates of a size class and begin at every shingle. A window of the template's length
 with containment c has a similarity of at least c / (2 - c): 0.667 at 0.8. With 16 bands of 2 values the bands meet
 with a probability of 1 - (1 - 0.667^2)^16 > 0.9999. What the bands retrieve is verified on the exact shingles.
+A text shorter than a template is one window, if it can hold enough of the template's shingles; the bound is the same.
 """
 
 from __future__ import annotations
@@ -67,6 +68,7 @@ class Index:
                 self.sizes.append(n)
                 for b, v in enumerate(band_values(_minima(grams[None, :]))[0].tolist()):
                     self.bands.setdefault(n, {}).setdefault((b, v), []).append(k)
+        self.least = {n: min(len(s) for s, m in zip(self.sets, self.sizes) if m == n) for n in self.bands}
         self.all = {n: np.unique(np.concatenate([s for s, m in zip(self.sets, self.sizes) if min(m, SHINGLE) == n])) for n in {min(m, SHINGLE) for m in self.sizes}}
 
 
@@ -90,13 +92,16 @@ def scan(text: str | None, index: Index, hashes: WordHashes, least: float) -> li
         return []
     h = hashes.of(words)
     found = []
+    grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for n, table in index.bands.items():
         k = min(n, SHINGLE)
-        if len(words) < n:
+        if len(words) - k + 1 < max(1, least * index.least[n]):
             continue
-        g = gram_hashes(h, k)
-        known = np.isin(g, index.all[k])
-        span = n - k + 1  # shingles in a window
+        if k not in grams:
+            g = gram_hashes(h, k)
+            grams[k] = g, np.isin(g, index.all[k])
+        g, known = grams[k]
+        span = min(n, len(words)) - k + 1  # shingles in a window
         # a window without a known shingle can't contain a template's; the others are looked up by their bands
         counts = np.concatenate([[0], np.cumsum(known)])
         starts = np.flatnonzero(counts[span:] - counts[:-span] >= 1)
@@ -107,7 +112,7 @@ def scan(text: str | None, index: Index, hashes: WordHashes, least: float) -> li
                 for t in {t for b, v in enumerate(values) for t in table.get((b, v), ())}:
                     c = len(np.intersect1d(index.sets[t], g[at : at + span])) / len(index.sets[t])
                     if c >= least:
-                        found.append((c, at, at + n, index.names[t]))
+                        found.append((c, at, at + span + k - 1, index.names[t]))
     out: list[tuple[str, int, int, float]] = []
     for c, lo, hi, name in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
         if all(name != o[0] or hi <= o[1] or lo >= o[2] for o in out):
