@@ -2,7 +2,8 @@
 
 The tagger is trained in numpy on labelled spans that a seeded generator writes. It reads overlapping windows; each is
 decoded by Viterbi and the spans of all windows are reconciled over the whole text: a span cut by a window's edge
-counts only from a window that holds it whole, the base spans come first, and what the tagger adds mustn't overlap
+counts only from a window that holds it whole (more and wider ones are laid where the usual ones cut a run without
+white space, or of digits and separators, around a digit or an @), the base spans come first, and what the tagger adds mustn't overlap
 them and must be of its kind's form. A span of any kind holds a digit or an @, so windows lie around those; a text
 without them holds none.
 """
@@ -31,6 +32,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _HINT = re.compile(r"[0-9@]")
+# What can be part of a span with its @ or digit, to the longest address (64 and 255 characters) and grouped number.
+_LEFT, _RIGHT, _NUMBER = 64, 256, 40
+_AFTER = re.compile(r"\S*")
+_NUMERIC = frozenset("0123456789 ().+-")
 _LIKE_PHONE = re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}")
 
 
@@ -269,6 +274,40 @@ def window_starts(text: str) -> list[int]:
     return out
 
 
+def _reach(text: str, at: int) -> tuple[int, int]:
+    """Begin and end of what a span with the hint at `at` can hold."""
+    if text[at] == "@":
+        lo = at
+        while lo > max(0, at - _LEFT) and not text[lo - 1].isspace():
+            lo -= 1
+        return lo, _AFTER.match(text, at, at + _RIGHT).end()
+    lo, hi = at, at + 1
+    while lo > max(0, at - _NUMBER) and text[lo - 1] in _NUMERIC:
+        lo -= 1
+    while hi < min(len(text), at + _NUMBER) and text[hi] in _NUMERIC:
+        hi += 1
+    return lo, hi
+
+
+def windows(text: str) -> list[tuple[int, int]]:
+    """(begin, width): those of window_starts, and one for each reach that none of them holds with a character more."""
+    out = [(at, WIDTH) for at in window_starts(text)]
+    usual, k, n, done = len(out), 0, len(text), -1
+    for m in _HINT.finditer(text):
+        if text[m.start()] != "@" and m.start() < done:  # the number's last window holds its reach
+            continue
+        lo, hi = _reach(text, m.start())
+        while k < usual and out[k][0] + WIDTH <= m.start():
+            k += 1
+        near = [*out[k : min(k + 3, usual)], *out[usual:][-2:]]
+        if not any((at < lo or at == 0) and (hi < at + width or at + width >= n) for at, width in near):
+            at = max(0, lo - MARGIN)
+            out.append((at, -(-(hi + MARGIN - at) // WIDTH) * WIDTH))
+        if text[m.start()] != "@" and hi - lo < _NUMBER:
+            done = hi
+    return out
+
+
 def spans_of(path: np.ndarray) -> list[tuple[str, int, int]]:
     out, at = [], 0
     for at in np.flatnonzero(path % 2 == 1).tolist():
@@ -312,26 +351,21 @@ def find_all(texts: list[str], tagger: Tagger, most: int = 2048) -> list[tuple[l
     """(base spans, all spans) of each text; windows of many texts are decoded together."""
     base = [base_spans(t) if t else [] for t in texts]
     decoded: list[list] = [[] for _ in texts]
-    todo: list[tuple[int, int]] = []
-    ids: list[np.ndarray] = []
+    todo: dict[int, list[tuple[int, int, np.ndarray]]] = {}
 
-    def flush() -> None:
-        if ids:
-            for (row, at), path in zip(todo, tagger.decode(np.stack(ids))):
-                decoded[row].append((at, path))
-            todo.clear()
-            ids.clear()
+    def flush(width: int) -> None:
+        part = todo.pop(width)
+        for (row, at, _), path in zip(part, tagger.decode(np.stack([ids for _, _, ids in part]))):
+            decoded[row].append((at, path))
 
     for row, t in enumerate(texts):
-        starts = window_starts(t) if t else []
-        for at in starts:
-            part = t[at : at + WIDTH]
-            codes = encode(part)
-            ids.append(np.pad(codes, (0, WIDTH - len(codes))))
-            todo.append((row, at))
-            if len(ids) >= most:
-                flush()
-    flush()
+        for at, width in windows(t) if t else []:
+            codes = encode(t[at : at + width])
+            todo.setdefault(width, []).append((row, at, np.pad(codes, (0, width - len(codes)))))
+            if len(todo[width]) * width >= most * WIDTH:
+                flush(width)
+    for width in list(todo):
+        flush(width)
     return [(b, reconcile(t, b, d) if d else b) for t, b, d in zip(texts, base, decoded)]
 
 
