@@ -1,12 +1,12 @@
-"""Repeated passages, by relative Lempel-Ziv parsing over phrases.
+"""Repeated passages, by a join of phrases cut at content-defined anchors.
 
-Every document is parsed into phrases: around each anchor (the least 8-gram hash of a run of `window` words) the words
+This replaces relative Lempel-Ziv: nothing is factored greedily, since that depends on the order of parsing.
+Every document is cut into phrases: around each anchor (the least 8-gram hash of a run of `window` words) the words
 of all windows that have it as their anchor. Where the anchor lies depends on the window's words alone, so equal
-windows are cut alike everywhere. The distinct phrases of the corpus are the indexed reference blocks. A document is
-factored against all of them at once by joining on the phrase; neighbouring phrases that are found make a factor.
+windows are cut alike everywhere. Phrases are matched against all distinct ones of the corpus by a join.
 
-Inside a factor every window occurs elsewhere. At factor boundaries that needn't be so: there a phrase's anchor is
-found but the phrase as a whole isn't. Those phrases, and one copy of each reference block with the same anchor, are
+Inside a phrase that is found every window occurs elsewhere. Where only a phrase's anchor is found but not the phrase
+as a whole, that needn't be so. Those phrases, and one copy of each distinct phrase with the same anchor, are
 opened, and their windows are compared one by one. Only anchors, hashes and positions are shuffled for the index.
 """
 
@@ -124,7 +124,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str
 
 
 def merged(spans: list[dict], window: int) -> list[tuple[int, int]]:
-    """Word ranges [begin, end) covered by the windows, sorted and disjoint: a document's factors."""
+    """Word ranges [begin, end) covered by the windows, sorted and disjoint."""
     out: list[list[int]] = []
     for first, last in sorted((s["first"], s["last"]) for s in spans):
         if out and first <= out[-1][1]:
