@@ -64,10 +64,11 @@ def extract(lines: DataFrame, key: str, heading: Column, first: int) -> DataFram
     return marked.withColumn("_r", rank).where(F.col("_h") | (F.col("_r") <= first)).select(key, "n", "line")
 
 
-def chunks(df: DataFrame, key: str, text: str, size: int, overlap: int, most: int = 600) -> DataFrame:
-    """(key, chunk, lo, body): windows of `size` characters with an overlap, `most` of a document at most."""
+def chunks(df: DataFrame, key: str, text: str, size: int, overlap: int, most: int | None = None) -> DataFrame:
+    """(key, chunk, lo, body): windows of `size` characters with an overlap over the whole text, or the first `most`."""
     step = size - overlap
-    n = F.least(F.greatest(F.ceil((F.length(text) - overlap) / step), F.lit(1)), F.lit(most)).cast("int")
+    n = F.greatest(F.ceil((F.length(text) - overlap) / step), F.lit(1))
+    n = (n if most is None else F.least(n, F.lit(most))).cast("int")
     at = F.explode(F.sequence(F.lit(0), n - 1))
     return df.where(F.length(text) > 0).select(key, text, at.alias("chunk")).select(key, F.col("chunk").cast("long").alias("chunk"), (F.col("chunk") * step).cast("long").alias("lo"), F.col(text).substr(F.col("chunk") * step + 1, F.lit(size)).alias("body"))
 

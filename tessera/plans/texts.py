@@ -80,7 +80,7 @@ def q_extractive(s, d):
 
 @query("SELECT doc_id, i::BIGINT AS chunk, i * 800 AS lo, text[i * 800 + 1:i * 800 + 1000] AS body FROM (SELECT doc_id, text, unnest(range(0, least(greatest(ceil((length(text) - 200) / 800.0), 1), 600)::BIGINT)) AS i FROM documents WHERE length(text) > 0)")
 def q_chunking(s, d):
-    return textops.chunks(docs(s, d), "doc_id", "text", 1000, 200)
+    return textops.chunks(docs(s, d), "doc_id", "text", 1000, 200, 600)
 
 
 @query("SELECT doc_id, sha256(text) AS sha, left(sha256(text), 12) AS short FROM documents")
