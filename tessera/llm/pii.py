@@ -10,6 +10,7 @@ without them holds none.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -31,12 +32,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_HINT = re.compile(r"[0-9@]")
+_HINT = re.compile(r"[0-9@]|\[at\]|\(at\)")
 # What can be part of a span with its @ or digit, to the longest address (64 and 255 characters) and grouped number.
 _LEFT, _RIGHT, _NUMBER = 64, 256, 40
 _AFTER = re.compile(r"\S*")
 _NUMERIC = frozenset("0123456789 ().+-")
-_LIKE_PHONE = re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}")
+# Forms that the base patterns miss and the tagger may add, whole.
+_AT = re.compile(r"@|\[at\]|\(at\)")
+_LIKE_EMAIL = re.compile(r"[^\s@\[\]()]+(?:@|\[at\]|\(at\))[^\s@\[\]()]+(?:(?:\.|\[dot\]|\(dot\))[^\s@\[\]().]+)+")
+_LIKE_IP = re.compile(r"[0-9]{1,3}(?:(?:\.|\[\.\])[0-9]{1,3}){3}")
+_LIKE_PHONE = re.compile(r"(?:\+[0-9]{1,3} ?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}")
 
 
 def luhn(digits: str) -> bool:
@@ -159,46 +164,53 @@ class Tagger:
         e = self.emissions(ids, keep).astype(np.float64)
         n, t, _ = e.shape
         tr, rows = (self.p["tr"] + self.bad).astype(np.float64), np.arange(n)
-        lse = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
+        step = np.exp(tr)
+
+        def through(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+            """log(exp(x) m): sums over paths as a product, scaled by the largest."""
+            top = x.max(axis=1, keepdims=True)
+            return np.log(np.maximum(np.exp(x - top) @ m, 1e-300)) + top
+
         a, b = np.zeros_like(e), np.zeros_like(e)
         a[:, 0] = e[:, 0] + self.p["st"] + self.bad_start
         for s in range(1, t):
-            a[:, s] = lse(a[:, s - 1, :, None] + tr, 1) + e[:, s]
+            a[:, s] = through(a[:, s - 1], step) + e[:, s]
         for s in range(t - 2, -1, -1):
-            b[:, s] = lse(tr + (e[:, s + 1] + b[:, s + 1])[:, None, :], 2)
-        z = lse(a[:, -1], 1)
+            b[:, s] = through(e[:, s + 1] + b[:, s + 1], step.T)
+        z = through(a[:, -1], np.ones((LABELS, 1)))[:, 0]
         de = np.exp(a + b - z[:, None, None])
-        g = {"st": de[:, 0].sum(axis=0), "tr": np.zeros((LABELS, LABELS))}
+        g = {"st": de[:, 0].sum(axis=0)}
         np.subtract.at(g["st"], gold[:, 0], 1)
-        for s in range(1, t):
-            g["tr"] += np.exp(a[:, s - 1, :, None] + tr + (e[:, s] + b[:, s])[:, None, :] - z[:, None, None]).sum(axis=0)
-            np.subtract.at(g["tr"], (gold[:, s - 1], gold[:, s]), 1)
+        # expected transitions, all steps at once: exp(a) tr exp(e + b) / z
+        g["tr"] = step * np.einsum("nsi,nsj->ij", np.exp(a[:, :-1] - z[:, None, None] + (m := (e + b)[:, 1:].max(axis=2, keepdims=True))), np.exp((e + b)[:, 1:] - m))
+        np.subtract.at(g["tr"], (gold[:, :-1], gold[:, 1:]), 1)
         de[rows[:, None], np.arange(t), gold] -= 1
         de = de.astype(np.float32)
         both = keep["both"]
         g["wo"], g["bo"] = np.einsum("nth,ntl->hl", both, de), de.sum(axis=(0, 1))
         dh_all = de @ self.p["wo"].T
         onehot = np.eye(CLASSES, dtype=np.float32)
+        seen = onehot[ids].reshape(n * t, CLASSES)
         for k, d in enumerate("fb"):
             dh_out = dh_all[:, :, k * HIDDEN : (k + 1) * HIDDEN]
-            gx, gh, gb = (np.zeros_like(self.p[f"{w}{d}"]) for w in "xhb")
+            back, state = np.zeros((n, t, 4 * HIDDEN), np.float32), np.zeros((n, t, HIDDEN), np.float32)
             dh, dc = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
             for s, h, before, i, f, o, gg, tc in reversed(keep[d]):
                 dh = dh + dh_out[:, s]
                 dc = dc + dh * o * (1 - tc * tc)
                 dz = np.concatenate([dc * gg * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gg * gg)], axis=1)
-                gx += onehot[ids[:, s]].T @ dz
-                gh += h.T @ dz
-                gb += dz.sum(axis=0)
+                back[:, s], state[:, s] = dz, h
                 dh, dc = dz @ self.p[f"h{d}"].T, dc * f
+            back = back.reshape(n * t, -1)
+            gx, gh, gb = seen.T @ back, state.reshape(n * t, -1).T @ back, back.sum(axis=0)
             g |= {f"x{d}": gx, f"h{d}": gh, f"b{d}": gb}
         return {k: (v / n).astype(np.float32) for k, v in g.items()}
 
-    def fit(self, ids: np.ndarray, gold: np.ndarray, epochs: int, batch: int = 32, rate: float = 0.03, seed: int = 4) -> "Tagger":
+    def fit(self, ids: np.ndarray, gold: np.ndarray, epochs: int, batch: int = 32, rate: float = 0.04, seed: int = 4) -> "Tagger":
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
+        step, whole = 0, epochs * -(-len(ids) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(ids))
             for lo in range(0, len(ids), batch):
@@ -208,7 +220,7 @@ class Tagger:
                     g = np.clip(g, -5, 5)
                     first[k] += 0.1 * (g - first[k])
                     second[k] += 0.01 * (g * g - second[k])
-                    self.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+                    self.p[k] -= rate * (1 - (step - 1) / whole) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
 
@@ -222,16 +234,26 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str], list
     def card() -> str:
         d = num(int(rng.integers(12, 20)) - 1)
         d += next(c for c in "0123456789" if luhn(d + c))
-        sep = pick(["", "", " ", "-"])
+        sep = pick(["", "", " ", "-", "."])
         return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
         return pick([f"+{num(int(rng.integers(1, 3)))} ({a}) {b}-{c}", f"+{num(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"])
 
+    ascii_word = lambda: "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(rng.integers(2, 9))))
+
+    def email() -> str:
+        name = pick([word, ascii_word, ascii_word])
+        domain = f"{name()}{pick(['', num(1)])}.{pick(['com', 'org', 'example.com', 'net'])}"
+        at = pick(["@", "@", "[at]", "(at)"])
+        if at != "@" and rng.random() < 0.5:
+            domain = domain.replace(".", at.replace("at", "dot"))
+        return f"{name()}{pick(['.', '_', '', '+'])}{pick([num(2), name()])}{at}{domain}"
+
     make = {
-        "email": lambda: f"{word()}{pick(['.', '_', '', '+'])}{pick([num(2), word()])}@{word()}{pick(['', num(1)])}.{pick(['com', 'org', 'example.com', 'net'])}",
-        "ip": lambda: ".".join(str(int(x)) for x in rng.integers(0, 256, 4)),
+        "email": email,
+        "ip": lambda: pick([".", ".", "[.]"]).join(str(int(x)) for x in rng.integers(0, 256, 4)),
         "card": card,
         "phone": phone,
     }
@@ -259,7 +281,9 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str], list
     return ids, gold, texts, spans
 
 
+@functools.cache
 def train(windows: int = 2400, epochs: int = 8, seed: int = 9) -> Tagger:
+    """The tagger, trained on `windows` labelled windows; once in a process."""
     ids, gold, _, _ = labelled(windows, seed)
     return Tagger().fit(ids, gold, epochs)
 
@@ -319,13 +343,12 @@ def spans_of(path: np.ndarray) -> list[tuple[str, int, int]]:
 
 
 def of_form(kind: str, s: str) -> bool:
-    """Whether what the tagger marks has its kind's form."""
+    """Whether what the tagger marks can be of its kind: what no such datum can look like is dropped."""
     d = digits_of(s)
     if kind == "email":
-        return s.count("@") == 1 and "." in s[s.index("@") :] and not any(c.isspace() for c in s) and s[0] != "@"
+        return _LIKE_EMAIL.fullmatch(s) is not None
     if kind == "ip":
-        parts = s.split(".")
-        return len(parts) == 4 and all(p and p == digits_of(p) and len(p) < 4 and int(p) <= 255 for p in parts)
+        return _LIKE_IP.fullmatch(s) is not None and all(int(p) <= 255 for p in re.findall("[0-9]+", s))
     if kind == "card":
         return 12 <= len(d) <= 19 and luhn(d) and all(c in "0123456789 -." for c in s)
     return 7 <= len(d) <= 15 and _LIKE_PHONE.fullmatch(s) is not None
