@@ -1,9 +1,10 @@
 """Shards by size-tiered compaction, in DataFrame operations only.
 
-append() writes arrivals as small immutable runs, without a shuffle. compact() plans on the runs' sizes alone: runs of
-one tier (sizes within a factor of four) are laid end to end and cut at the target size, so similarly sized runs merge
-into files of about the target; a run above it is dealt to several. The rows are then moved once, a versioned manifest
-is written, and the version is committed by renaming one small file: readers see the old or the new version, whole.
+append() writes arrivals as small immutable shards, without a shuffle, each row with its run. compact() plans on the
+runs' sizes alone: runs of one tier (sizes within a factor of four) are laid end to end and cut at the target size, so
+similarly sized runs merge into files of about the target; a run above it is dealt to several. The rows are then moved,
+a versioned manifest is written, and the version is committed by naming one small file, which only one writer can do:
+readers see the old or the new version, whole.
 
 A version holds all rows committed before it. Shards of earlier versions stay where they are and the manifest refers to
 them, until FULL of one region are of one tier and under half the target: those are laid end to end with the new runs
@@ -16,10 +17,13 @@ import json
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TARGET, ARRIVAL, REGION, FULL = 64 << 20, 16384, 256, 4
+from tessera.llm.common import fresh
+
+TARGET, ARRIVAL, REGION, FULL, TASK = 64 << 20, 16384, 256, 4, 4
 
 
 def _fs(spark: SparkSession, path: str):
@@ -33,16 +37,37 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
 
+def _publish(spark: SparkSession, aside: str, final: str) -> bool:
+    """Give a finished file its final name, unless that exists: whoever comes second gets False, on any store."""
+    jvm = spark._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(final)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        if fs.getUri().getScheme() == "file":  # a rename would replace the file; a hard link can't
+            path = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(path(target), path(source))
+        else:
+            options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+            options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(source, target, options)
+    except Py4JJavaError as e:
+        if fs.exists(target):
+            return False
+        raise RuntimeError(f"can't publish {final}") from e
+    finally:
+        fs.delete(source, False)
+    return True
+
+
 def commit(spark: SparkSession, root: str, version: int, content: dict) -> None:
-    """Publish a version: a file is written aside and renamed, which fails if another writer has that version."""
-    fs, final = _fs(spark, f"{root}/commits/v{version:08d}.json")
-    fs.mkdirs(final.getParent())
-    _, aside = _fs(spark, f"{root}/commits/_{uuid.uuid4().hex}")
-    out = fs.create(aside, True)
+    """Publish a version: its file is written aside, then given its name, which fails if another writer has that version."""
+    final, aside = f"{root}/commits/v{version:08d}.json", f"{root}/commits/_{uuid.uuid4().hex}"
+    fs, p = _fs(spark, aside)
+    fs.mkdirs(p.getParent())
+    out = fs.create(p, True)
     out.write(bytearray(json.dumps(content).encode()))
     out.close()
-    if fs.exists(final) or not fs.rename(aside, final):
-        fs.delete(aside, False)
+    if not _publish(spark, aside, final):
         raise RuntimeError(f"version {version} is already committed")
 
 
@@ -64,13 +89,15 @@ def run_name(key: str = "doc_id", source: str = "source", arrival: int = ARRIVAL
     return slot, F.concat_ws("/", slot.cast("string"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))
 
 
-def append(docs: DataFrame, root: str, key: str = "doc_id", source: str = "source") -> str:
-    """Write docs as new runs beside those already there; returns their folder."""
+def append(docs: DataFrame, root: str, key: str = "doc_id", source: str = "source", text: str = "text") -> str:
+    """Write docs as new small shards beside those already there, one of each task; returns their folder.
+
+    Every row says its run and the bytes of its text, so that runs are sized without reading texts.
+    """
     path = f"{root}/arrivals/{uuid.uuid4().hex}"
     slot, run = run_name(key, source)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    hashed = F.sha2(run, 256).substr(1, 16)  # a folder name for any source
-    docs.select(row, slot.alias("slot"), run.alias("run"), hashed.alias("folder")).write.option("compression", "zstd").partitionBy("folder").parquet(path)
+    docs.select(row, slot.alias("slot"), run.alias("run"), _bytes(f"`{text}`").alias("bytes")).write.option("compression", "zstd").parquet(path)
     return path
 
 
@@ -120,7 +147,7 @@ def compact(spark: SparkSession, root: str, arrivals: list[str], key: str = "doc
     last = committed(spark, root)
     base = f"{root}/versions/{version:08d}-{uuid.uuid4().hex}"
     rows = _union([spark.read.parquet(path) for path in arrivals]).withColumn("unit", F.col("run"))
-    sizes = rows.groupBy("slot", "unit").agg(F.count("*").alias("docs"), F.sum(_bytes(f"row.`{text}`")).alias("bytes"))
+    sizes = rows.groupBy("slot", "unit").agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes"))
     earlier = manifest(spark, root) if last and last["base"] else None
     if earlier is not None:
         full(earlier, target).write.parquet(f"{base}/merged")
@@ -130,7 +157,7 @@ def compact(spark: SparkSession, root: str, arrivals: list[str], key: str = "doc
         named = merged.select("base", "file", slot, unit)
         for b in [r.base for r in merged.select("base").distinct().collect()]:  # versions at most
             old = spark.read.parquet(f"{b}/shards").join(named.where(F.col("base") == b).drop("base"), "file")
-            rows = _union([rows, old.select("row", "run", "slot", "unit")])
+            rows = _union([rows, old.select("row", "run", "bytes", "slot", "unit")])
     plan(sizes.withColumnRenamed("unit", "run"), target).write.parquet(f"{base}/runs")
     runs = spark.read.parquet(f"{base}/runs").withColumnRenamed("run", "unit")
     moved = rows.join(runs.select("slot", "unit", "tier", "parts", "shard"), ["slot", "unit"])
@@ -139,10 +166,14 @@ def compact(spark: SparkSession, root: str, arrivals: list[str], key: str = "doc
     if version > 1:  # no two shards of a manifest have one name
         shard = F.concat(F.lit(f"v{version}-"), shard)
     file = F.concat(F.lit("s"), F.sha2("shard", 256).substr(1, 16))  # a letter first: never read back as a number
-    moved = moved.select("row", "run", "tier", shard.alias("shard")).withColumn("file", file)
-    moved.repartition("file").sortWithinPartitions("file").write.option("compression", "zstd").partitionBy("file").parquet(f"{base}/shards")
+    moved = moved.select("row", "run", "tier", "bytes", shard.alias("shard")).withColumn("file", file)
+    total = runs.agg(F.sum("bytes")).first()[0] or 0
+    tasks = -(-total // (TASK * target))  # a task writes a few shards, whatever the size of the whole
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    moved = moved.repartition(tasks, "file") if tasks > usual else moved.repartition("file")
+    moved.sortWithinPartitions("file").write.option("compression", "zstd").partitionBy("file").parquet(f"{base}/shards")
     region = F.floor(F.substring_index("run", "/", 1).cast("long") / REGION).cast("long")
-    made = spark.read.parquet(f"{base}/shards").groupBy("file", "shard", "tier").agg(F.count("*").alias("docs"), F.sum(_bytes(f"row.`{text}`")).alias("bytes"), F.min(region).alias("region"))
+    made = spark.read.parquet(f"{base}/shards").groupBy("file", "shard", "tier").agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes"), F.min(region).alias("region"))
     made = made.select("file", "shard", "tier", "docs", "bytes", F.lit(version).alias("version"), "region", F.lit(base).alias("base"))
     if earlier is not None:
         made = made.unionByName(earlier.join(merged, ["base", "file"], "left_anti"))
@@ -174,7 +205,8 @@ def view(spark: SparkSession, root: str) -> DataFrame:
 def sharded(docs: DataFrame, root: str, key: str = "doc_id", text: str = "text", source: str = "source", target: int = TARGET) -> DataFrame:
     """docs, appended and compacted under root, and all rows committed there before, with run, tier and shard.
 
-    All columns of docs stay as they are. Null texts have 0 bytes; null keys and sources make runs of their own;
+    All columns of docs stay as they are; the last three are _run, _tier and _shard, with more underscores where docs
+    has such columns. Null texts have 0 bytes; null keys and sources make runs of their own;
     repeated rows stay. Empty docs make a version without new shards.
     """
     spark = docs.sparkSession
@@ -183,7 +215,8 @@ def sharded(docs: DataFrame, root: str, key: str = "doc_id", text: str = "text",
         last = committed(spark, root)
         commit(spark, root, version, {"version": version, "base": last and last["base"], "arrivals": []})
     else:
-        compact(spark, root, [append(docs, root, key, source)], key, text, target)
+        compact(spark, root, [append(docs, root, key, source, text)], key, text, target)
+    extra = [fresh(docs, c) for c in ("_run", "_tier", "_shard")]
     if committed(spark, root)["base"] is None:
-        return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.lit("").alias("_run"), F.lit(0).alias("_tier"), F.lit("").alias("_shard"))
-    return view(spark, root).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("run").alias("_run"), F.col("tier").alias("_tier"), F.col("shard").alias("_shard"))
+        return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.lit("").alias(extra[0]), F.lit(0).alias(extra[1]), F.lit("").alias(extra[2]))
+    return view(spark, root).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in zip(("run", "tier", "shard"), extra)])
