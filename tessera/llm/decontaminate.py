@@ -8,10 +8,12 @@ Only positions and hashes are exploded; texts never leave the scan but for docum
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii, materialize
+from tessera.llm.common import fresh, lower_ascii, materialize
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -91,6 +93,20 @@ def scanned(docs: DataFrame, keep: list[str], window: int, k: int, text: str) ->
     return materialize(with_fingerprints(_hashed(base), window, k).drop("h"), "winnowed")
 
 
+def _short_hits(texts: DataFrame, spec: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows (digest, start, len): where the hash of an item shorter than a window occurs; one pass for all lengths."""
+    step = lambda a, b: F.xxhash64(a, b)
+    items = _hashed(spec.where(F.col("len").isin(lengths)).select(F.col("len"), F.split("gram", " ").alias("w")))
+    rows = _hashed(texts.select("digest", words(F.col("_t")).alias("w")))
+    for m in lengths:
+        items, rows = _reach(items, "h", f"g{m}", m, step), _reach(rows, "h", f"g{m}", m, step)
+    whole = reduce(lambda c, m: F.when(F.col("len") == m, F.get(f"g{m}", F.lit(0))).otherwise(c), lengths, F.lit(None).cast("long"))
+    wanted = items.select("len", whole.alias("fp")).distinct()
+    entry = lambda m: lambda x, i: F.struct(F.lit(m).alias("len"), i.alias("start"), x.alias("fp"))
+    grams = [F.transform(F.slice(f"g{m}", 1, F.greatest(F.col("n") - (m - 1), F.lit(0))), entry(m)) for m in lengths]
+    return rows.select("digest", F.inline(F.concat(*grams))).join(wanted, ["len", "fp"], "left_semi").select("digest", "start", "len")
+
+
 def find(docs: DataFrame, scan: DataFrame, items: DataFrame, window: int = 8, k: int = 5, text: str = "text", item_text: str = "text", ident: str = "item_id") -> DataFrame:
     """Rows (digest, spans array<struct<start,len>>, items array<string>) for each distinct text of docs with a hit.
 
@@ -107,12 +123,8 @@ def find(docs: DataFrame, scan: DataFrame, items: DataFrame, window: int = 8, k:
     starts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(window - k)), lambda d: F.col("pos") - d))
     found = grams.join(hits, ["digest", "fp"], "left_semi").select("digest", starts.alias("start"), F.lit(window).alias("len"))
     lengths = sorted(r[0] for r in spec.where(F.col("len") < window).select("len").distinct().collect())  # window - 1 values at most
-    for m in lengths:
-        short = spec.where(F.col("len") == m).select(F.split("gram", " ").alias("w"))
-        short = _reach(_hashed(short), "h", "g", m, lambda a, b: F.xxhash64(a, b)).select(F.explode(F.slice("g", 1, 1)).alias("fp")).distinct()
-        rows = _reach(_hashed(texts.select("digest", words(F.col("_t")).alias("w"))), "h", "g", m, lambda a, b: F.xxhash64(a, b))
-        rows = rows.select("digest", F.posexplode(F.slice("g", 1, F.greatest(F.col("n") - (m - 1), F.lit(0)))).alias("start", "fp"))
-        found = found.unionByName(rows.join(short, "fp", "left_semi").select("digest", "start", F.lit(m).alias("len")))
+    if lengths:
+        found = found.unionByName(_short_hits(texts, spec, lengths))
     wanted = found.where("start >= 0").distinct().groupBy("digest").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
     near = texts.join(wanted, "digest").select("digest", "spans", words(F.col("_t")).alias("w"))
     cut = F.transform(F.filter("spans", lambda s: s["start"] + s["len"] <= F.size("w")), lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.array_join(F.slice("w", s["start"] + 1, s["len"]), " ").alias("gram")))
@@ -143,7 +155,10 @@ def contamination(docs: DataFrame, items: DataFrame, least: int = 2, window: int
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, least: int = 2, window: int = 8, text: str = "text") -> DataFrame:
-    """Rows of docs, all columns as they are, without those that hold windows of `least` items or more."""
+    """Rows of docs, all columns as they are, without those that hold windows of `least` items or more.
+
+    Null and empty texts stay; equal texts go or stay together, repeated rows as well; without items nothing goes.
+    """
     bad = find(docs, scanned(docs, [], window, 5, text), items, window, text=text).where(F.size("items") >= least).select("digest")
-    mark = "_digest_of_text"
+    mark = fresh(docs, "_digest_of_text")
     return docs.withColumn(mark, F.md5(F.coalesce(F.col(text), F.lit("")))).join(bad.withColumnRenamed("digest", mark), mark, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

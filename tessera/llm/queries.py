@@ -91,8 +91,9 @@ bw AS (SELECT DISTINCT item, m, g FROM (SELECT item, i, n, least(n, 8) AS m,
        CASE WHEN n >= 8 THEN string_agg(x, ' ') OVER (PARTITION BY item ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
             ELSE string_agg(x, ' ') OVER (PARTITION BY item ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS g FROM bu)
        WHERE i <= n - m + 1),
-dw AS (SELECT doc_id, i, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g FROM du),
-hit AS (SELECT doc_id, i, m, item FROM dw JOIN bw ON dw.g = bw.g AND m = 8),
+dl AS (SELECT doc_id, i, x, count(*) OVER (PARTITION BY doc_id) AS n, {', '.join(f"lead(x, {k}) OVER q AS x{k}" for k in range(1, 8))} FROM du WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+dw AS (SELECT doc_id, i, m, x || {' || '.join(f"CASE WHEN m > {k} THEN ' ' || x{k} ELSE '' END" for k in range(1, 8))} AS g FROM dl, (SELECT DISTINCT m FROM bw) WHERE i <= n - m + 1),
+hit AS (SELECT doc_id, i, dw.m, item FROM dw JOIN bw ON dw.g = bw.g AND dw.m = bw.m),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
