@@ -17,19 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset, as in local tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='tessera-')}")
     return base.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back. Survives lost executors."""
+    """Cut lineage: write df to the shared folder and read it back. Survives lost executors.
+
+    The files go when the application ends; `discard` removes them before that.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,6 +49,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs without ASCII white space, unchanged."""
     return text.encode().split() if text else []

@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tessera.llm.common import WordHashes, blocked, connected, gram_hashes, materialize
+from tessera.llm.common import WordHashes, blocked, connected, fresh, gram_hashes, materialize
 
 VALUES, CHUNKS, ERRORS = 32, 8, 15
 SHINGLE = 5
@@ -211,24 +212,45 @@ def components(docs: DataFrame, least: int = 85, key: str = "doc_id", text: str
 
 
 def near_duplicates(docs: DataFrame, least: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, n_shingles, component_id, kept): kept is the row whose key names its component, or has no key."""
-    out = components(docs, least, key, text)
-    return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    """Rows (key, n_shingles, component_id, kept): kept is the row whose key names its component, or has no key.
+
+    Keys of any type that has an order: those that aren't integers are numbered by row first, and a component is named
+    by the least of its keys.
+    """
+    kind = docs.schema[key].dataType
+    if isinstance(kind, IntegralType):
+        out = components(docs, least, key, text).select(F.col("id").alias(key), "n_shingles", "component_id")
+    else:
+        k, row = F.col(f"`{key}`"), F.monotonically_increasing_id().alias("_row")
+        numbered = materialize(docs.select(k.alias("_key"), F.col(f"`{text}`").alias("_text"), row), "numbered")
+        # rows of one key are one component, as with integers; rows without a key have none
+        found = components(numbered, least, "_row", "_text")
+        rows = numbered.where("_key IS NOT NULL").select("_key", F.col("_row").alias("a"))
+        same = rows.join(rows.groupBy("_key").agg(F.min("a").alias("b")), "_key").select("a", "b")
+        links = found.join(rows.select(F.col("a").alias("id")), "id", "left_semi").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+        both = connected(links.unionByName(same), "keyed")
+        named = found.join(numbered.select(F.col("_row").alias("id"), "_key"), "id").join(both, "id", "left").withColumn("c", F.coalesce("component", "component_id"))
+        least_key = named.where("_key IS NOT NULL").groupBy("c").agg(F.min("_key").alias("component_id"))
+        out = named.drop("component_id").join(least_key, "c", "left")
+        out = out.select(F.col("_key").alias(key), "n_shingles", F.when(F.col("_key").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, least: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of docs, all columns as they are, one row of each component: that of the smallest key, null keys last.
 
     Rows are linked by a number of their own, so repeated rows, rows of one key and rows of null key are told apart. Of
-    texts without words, which are linked with nothing, one row of each key and text stays.
+    texts without words, which are linked with nothing, one row of each key and text stays. Keys are of any type that
+    has an order. An empty table stays empty.
     """
-    row, columns = "_row_of_docs", docs.columns
+    columns = docs.columns
+    row = fresh(docs, "_row_of_docs")
     docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = components(docs, least, row, text)
-    k, t = F.col(f"`{key}`").cast("long"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    k, t = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     first = docs.select(F.col(row).alias("id"), F.struct(k.isNull().alias("none"), k.alias("key"), F.md5(t).alias("text"), F.col(row).alias("row")).alias("first"))
     marked = found.join(first, "id").select("n_shingles", "component_id", "first")
     kept = marked.where("n_shingles > 0").groupBy("component_id").agg(F.min("first").alias("first")).select("first.row")
     wordless = marked.where("n_shingles = 0").groupBy("first.key", "first.text").agg(F.min("first.row").alias("row")).select("row")
-    kept = kept.unionByName(wordless).withColumnRenamed("row", "_kept")
-    return docs.join(kept, F.col(row) == F.col("_kept"), "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    kept = kept.unionByName(wordless).toDF(row)
+    return docs.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in columns])

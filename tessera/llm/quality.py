@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import fresh
+
 WORDS, SHAPES, DIM, NEAR, ONES = 8192, 1024, 32, 2, 2
 MAX_ROWS, HIDDEN, STEPS, SEED = 20_000, 24, 250, 5
 THRESHOLD, FOLDS = 0.3, 5
@@ -192,8 +194,11 @@ def remainder(key: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most max_rows labelled rows (by a hash of the key) whose remainder isn't 0; remainder 1 calibrates."""
-    known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").dropDuplicates(["k"])
+    """Fit on at most max_rows labelled rows (by a hash of the key) whose remainder isn't 0; remainder 1 calibrates.
+
+    A key with both labels counts as 0.
+    """
+    known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").groupBy("k").agg(F.min("y").alias("y"))
     known = known.withColumn("r", F.crc32(F.col("k").cast("string").cast("binary")) % FOLDS).where("r <> 0").orderBy(F.xxhash64("k"), "k").limit(max_rows)
     joined = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(known), "k").select("y", "r", "text")  # max_rows narrow rows
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -210,7 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, key: str = "doc
 
 
 def scored(docs: DataFrame, table: np.ndarray, model: Model, text: str = "text") -> DataFrame:
-    """docs, all columns as they are, with _score."""
+    """docs, all columns as they are, with the score as the last column: _score, with more underscores where docs has that."""
+    name = fresh(docs, "_score")
     shared = docs.sparkSession.sparkContext.broadcast((table, model))
     cols = docs.columns
 
@@ -224,7 +230,7 @@ def scored(docs: DataFrame, table: np.ndarray, model: Model, text: str = "text")
     packed = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
     kind = packed.schema["row"].dataType.simpleString()
     out = packed.mapInArrow(run, f"row {kind}, _score double")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in cols], "_score")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in cols], F.col("_score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
@@ -241,9 +247,12 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs, all columns as they are, that score at least the threshold."""
+    """Rows of docs, all columns as they are, that score at least the threshold.
+
+    Null and empty texts get the score of a text without words, repeated rows the same one each. Without labels of both
+    classes every score is the labels' prior, so all rows stay or go; an empty table stays empty.
+    """
     table = context_vectors(docs, text)
     model = train(docs, labels, table, key, text, label)
-    return scored(docs, table, model, text).where(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
+    out = scored(docs, table, model, text)
+    return out.where(F.col(out.columns[-1]) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
