@@ -30,7 +30,12 @@ def tightest(chunks: DataFrame, spans: DataFrame, key: str, width: int = 64) ->
     return hit.groupBy(key, "lo", "hi").agg(F.min_by("id", F.struct(F.col("line_end") - F.col("line_start"), "id")).alias("id"))
 
 
-def overlaps(ranges: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """(key, id, lo, hi): the common part of each range and interval that overlap."""
-    hit = ranges.join(spans, key).where("line_start <= hi AND line_end >= lo")
+def overlaps(ranges: DataFrame, spans: DataFrame, key: str, width: int = 64) -> DataFrame:
+    """(key, id, lo, hi): the common part of each range and interval that overlap.
+
+    Both sides are dealt to bins; a pair counts in the first bin that both are in.
+    """
+    r = ranges.where("lo <= hi").withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    hit = r.join(_binned(spans, width), [key, "bin"]).where("line_start <= hi AND line_end >= lo")
+    hit = hit.where(F.col("bin") == F.floor(F.greatest("line_start", "lo") / width))
     return hit.select(key, "id", F.greatest("line_start", "lo").alias("lo"), F.least("line_end", "hi").alias("hi"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import stored
+
 K1, B = 1.2, 0.75
 RRF = 60
 
@@ -26,11 +28,12 @@ def _is(term: str):
 def bm25(df: DataFrame, key: str, text: str, terms: list[str], mode: str = "auto") -> DataFrame:
     """(key, matched, score) by BM25. auto: documents with all terms, where there are none those with any.
 
-    One pass makes lengths and frequencies of the query's terms; the other terms are never shuffled.
+    One pass over the texts makes lengths and frequencies of the query's terms, a narrow table that the statistics and
+    the scores are read from; the other terms are never shuffled.
     """
     words = F.array_remove(F.split(F.lower(text), "[^a-z]+"), "")
     tf = [F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    d = df.select(key, words.alias("w")).select(key, F.size("w").alias("len"), *tf)
+    d = stored(df.select(key, words.alias("w")).select(key, F.size("w").alias("len"), *tf), "frequencies")  # narrow: texts are split once
     stats = d.agg(F.count("*").alias("N"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     d = d.crossJoin(F.broadcast(stats))  # one row
 

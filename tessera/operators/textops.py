@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators.ledger import islands
-
-#: Line rules in order; None drops the line.
-LINE_RULES: list[tuple[str, str | None]] = [
-    (r"^\s*$", None),
-    (r"^[-=*_#]{3,}$", None),
-    (r"^\s*(npm )?(WARN|warning)\b.*deprecated.*$", None),
-    (r"^\s*at .*node_modules.*$", None),
-    (r"\x1B\[[0-9;]*m", ""),
-    (r"\s+$", ""),
-    (r"^\s*\d+%\s*\|.*$", None),
-    (r"\t", "    "),
-    (r"(.)\1{9,}", "$1$1$1"),
+from tessera.session import stored
+
+#: Line rules by name, in order; the first that matches decides. None drops the line, a text replaces it.
+LINE_RULES: list[tuple[str, str, str | None]] = [
+    ("git-progress", r"(?i)^(remote:\s+)?(Counting objects|Compressing objects|Receiving objects|Resolving deltas|Unpacking objects|Enumerating objects|Writing objects):", None),
+    ("npm-summary", r"(?i)^\s*(added|removed|changed|audited)\s+\d+\s+packages?\b", None),
+    ("npm-funding", r"(?i)^\s*\d+\s+packages? are looking for funding\b", None),
+    ("pip-download", r"(?i)^\s*(Downloading|Collecting|Using cached|Requirement already satisfied)\b", None),
+    ("progress-bar", r"[█▉▊▋▌▍▎▏▓▒░]{3,}", None),
+    ("docker-pull", r"(?i)^[0-9a-f]{6,}:\s+(Pulling|Waiting|Downloading|Verifying|Extracting|Download complete|Pull complete|Already exists)\b", None),
+    ("cargo-progress", r"^\s*(Compiling|Downloading|Downloaded|Updating|Fetching)\s+\S", None),
+    ("webpack-asset", r"(?i)^\s*(asset|chunk)\s+\S+\s+[\d.]+\s*(KiB|MiB|bytes)\b", None),
+    ("binary-content", r"\x00", "[binary content elided]"),
 ]
 
 
@@ -35,12 +36,12 @@ def folded(lines: DataFrame, key: str) -> DataFrame:
     return lines.groupBy(key, X.normalized(F.col("line")).alias("norm")).agg(F.min("n").alias("first"), F.count("*").alias("times"))
 
 
-def filtered_lines(lines: DataFrame, rules: list[tuple[str, str | None]] = LINE_RULES) -> DataFrame:
-    """Lines after the ordered rules; dropped ones are gone."""
-    c: Column = F.col("line")
-    for pattern, to in rules:
-        c = F.when(c.rlike(pattern), F.lit(None)).otherwise(c) if to is None else F.regexp_replace(c, pattern, to)
-    return lines.withColumn("line", c).where("line IS NOT NULL")
+def filtered_lines(lines: DataFrame, rules: list[tuple[str, str, str | None]] = LINE_RULES) -> DataFrame:
+    """Lines after the rules; dropped ones are gone. The first rule that matches a line decides."""
+    line, out = F.col("line"), F.col("line")
+    for _, pattern, to in reversed(rules):
+        out = F.when(line.rlike(pattern), F.lit(to).cast("string")).otherwise(out)
+    return lines.withColumn("line", out).where("line IS NOT NULL")
 
 
 def duplicate_lines(lines: DataFrame, key: str) -> DataFrame:
@@ -81,21 +82,28 @@ def snippet(text: Column, word: str, before: int = 30, length: int = 80) -> Colu
 
 
 def similar_sets(pairs: DataFrame, key: str, token: str, least: float) -> DataFrame:
-    """(a, b, both, jaccard) of keys a < b whose token sets have a Jaccard similarity of `least` or more.
+    """(a, b, both, jaccard): keys a < b whose token sets have a Jaccard similarity of `least` or more, by classes.
 
-    Prefix filter: tokens are ordered from rare to frequent, and two sets that similar share one among the first
-    n - ceil(least n) + 1 of each. Only those meet in the join, so frequent tokens hardly ever do.
+    Keys of equal sets are one class, named by its least key; each member has one row with it (jaccard 1). Pairs are
+    those of the classes' names, so copies are never expanded. Prefix filter: tokens are ordered from rare to frequent,
+    and two sets that similar share one among the first n - ceil(least n) + 1 of each; only those meet in the join.
     """
-    t = pairs.select(F.col(key).alias("k"), F.xxhash64(token).alias("t")).distinct()
+    t = stored(pairs.select(F.col(key).alias("k"), F.xxhash64(token).alias("t")).distinct(), "tokens")
+    # the class of a set: sums and xors of its members' hashes, aggregated before the shuffle
+    marks = t.groupBy("k").agg(F.count("*").alias("size"), F.bit_xor("t").alias("x"), F.bit_xor(F.xxhash64("t", F.lit(1))).alias("y"))
+    marks = stored(marks.join(marks.groupBy("size", "x", "y").agg(F.min("k").alias("a")), ["size", "x", "y"]).select("k", "a", "size"), "classes")
+    members = marks.where("k <> a").select("a", F.col("k").alias("b"), F.col("size").alias("both"), F.lit(1.0).alias("jaccard"))
+    t = t.join(marks.where("k = a").select("k", "size"), "k")
     ordered = t.join(t.groupBy("t").agg(F.count("*").alias("df")), "t")
-    w = Window.partitionBy("k")
-    ordered = ordered.withColumns({"r": F.row_number().over(w.orderBy("df", "t")), "size": F.count("*").over(w)})
+    ordered = ordered.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("df", "t")))
     prefix = ordered.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("k", "t", "size")
     near = prefix.toDF("a", "t", "na").join(prefix.toDF("b", "t", "nb"), "t").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)).select("a", "b", "na", "nb").distinct()
-    sets = t.groupBy("k").agg(F.collect_set("t").alias("s"))
+    near = stored(near, "near")
+    met = near.select(F.col("a").alias("k")).union(near.select("b")).distinct()
+    sets = t.join(met, "k", "left_semi").groupBy("k").agg(F.collect_set("t").alias("s"))
     near = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long"))
     jac = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return near.select("a", "b", "both", jac.alias("jaccard")).where(F.col("jaccard") >= least)
+    return near.select("a", "b", "both", jac.alias("jaccard")).where(F.col("jaccard") >= least).unionByName(members)
 
 
 def any_of(c: Column, patterns: list[str]) -> Column:

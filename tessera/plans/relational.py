@@ -39,10 +39,10 @@ def q_where_regex(s, d):
     return predicates.where(T(s, d, "part"), ["p_name~=^red |ring$"]).select("p_partkey", "p_name")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 25 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity LIMIT 500")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 25")
 def q_where_multi(s, d):
     df = predicates.where(T(s, d, "lineitem"), ["l_returnflag=R", "l_quantity>=25"])
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").limit(500)
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
 @query("""
@@ -63,9 +63,9 @@ def q_csv_roundtrip(s, d):
     return cells.selectExpr("try_cast(c_custkey AS long) AS c_custkey", "c_name", "try_cast(c_nationkey AS int) AS c_nationkey", "try_cast(c_acctbal AS double) AS c_acctbal", "c_mktsegment")
 
 
-@query("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_name = 'red widget' AND p_type = 'ECONOMY' AND starts_with(p_brand, 'Brand#1') ORDER BY p_partkey LIMIT 100")
+@query("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_name = 'red widget' AND p_type = 'ECONOMY' AND starts_with(p_brand, 'Brand#1')")
 def q_symbol_lookup(s, d):
-    return relations.lookup(T(s, d, "part"), {"p_name": "red widget", "p_type": "ECONOMY"}, prefix={"p_brand": "Brand#1"}).select("p_partkey", "p_name", "p_brand", "p_type").orderBy("p_partkey").limit(100)
+    return relations.lookup(T(s, d, "part"), {"p_name": "red widget", "p_type": "ECONOMY"}, prefix={"p_brand": "Brand#1"}).select("p_partkey", "p_name", "p_brand", "p_type")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_name >= 'Customer#00000010' AND c_name < 'Customer#00000011'")

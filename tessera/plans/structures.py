@@ -47,7 +47,8 @@ def q_degree_hubs(s, d):
     return graph.degrees(edges(s, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) WHERE src <> dst), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+p AS (SELECT x.src AS node, least(x.src, min(x.dst)) AS scc FROM r x JOIN r y ON x.src = y.dst AND x.dst = y.src WHERE x.src <> x.dst GROUP BY x.src) SELECT node, scc FROM p""")
 def q_scc(s, d):
     return graph.cycles(edges(s, d))
 
@@ -81,16 +82,11 @@ def q_cross_edges(s, d):
     return graph.cross_edges(e, member)
 
 
-@query("WITH RECURSIVE r AS (SELECT c_custkey AS id, c_custkey AS up, 0 AS level FROM customer UNION ALL SELECT id, up // 3, level + 1 FROM r WHERE up > 0 AND level < 8) SELECT id, up AS ancestor, level::INT AS level FROM r WHERE level > 0")
+@query("WITH RECURSIVE r AS (SELECT c_custkey AS id, c_custkey AS up, 0 AS level FROM customer UNION ALL SELECT id, c_custkey // 3, level + 1 FROM r JOIN customer ON c_custkey = up WHERE level < 8) SELECT id, up AS ancestor, level::INT AS level FROM r WHERE level > 0")
 def q_ancestors(s, d):
-    """Parents c_custkey // 3, climbed eight levels at most."""
-    now = T(s, d, "customer").select(F.col("c_custkey").alias("id"))
-    up = F.col("id")
-    levels = []
-    for level in range(1, 9):
-        above = F.floor(F.col("id") / 3**level)
-        levels.append(F.when(F.floor(F.col("id") / 3 ** (level - 1)) > 0, F.struct(above.cast("long").alias("ancestor"), F.lit(level).alias("level"))))
-    return now.select(up, F.inline(F.filter(F.array(*levels), lambda x: x.isNotNull())))
+    """Parents c_custkey // 3, a parent table climbed by joins, eight levels at most (the operator's depth)."""
+    parents = T(s, d, "customer").select(F.col("c_custkey").alias("node"), F.floor(F.col("c_custkey") / 3).cast("long").alias("parent"))
+    return graph.ancestors(parents, 8).select(F.col("node").alias("id"), "ancestor", "level")
 
 
 def nodes(s, d):
@@ -159,11 +155,15 @@ def q_dirty_queue(s, d):
     return ingest.drained(ingest.deduplicated(event_stream(s, d), ["user_id", "event_type"], "60 days").select("user_id", "event_type"))
 
 
-@query("SELECT o_orderkey, sha256(o_orderstatus || o_totalprice::VARCHAR) IS NOT NULL AS redo FROM orders WHERE o_orderkey % 5 = 0 OR o_orderstatus = 'P'")
+@query("WITH o AS (SELECT o_orderkey, o_orderstatus, sha256(o_orderkey || '|' || o_orderstatus) AS sha FROM orders) SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE 'changed' END AS why FROM o WHERE o_orderkey % 5 = 0 OR o_orderstatus = 'P'")
 def q_stateful_skip(s, d):
-    o = T(s, d, "orders").withColumn("sha", F.sha2(F.concat_ws("|", "o_orderstatus", "o_totalprice"), 256))
-    known = o.where("o_orderkey % 5 <> 0").withColumn("sha", F.when(F.col("o_orderstatus") == "P", "old").otherwise(F.col("sha")))
-    return ingest.upserted(o, known, "o_orderkey", "sha").select("o_orderkey", F.lit(True).alias("redo"))
+    """Orders against a state of keys and digests that lacks every fifth and has an old digest where the status is P."""
+    sha = F.sha2(F.concat_ws("|", "o_orderkey", "o_orderstatus"), 256)
+    o = T(s, d, "orders").select("o_orderkey", "o_orderstatus", sha.alias("sha"))
+    known = o.where("o_orderkey % 5 <> 0").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "old").otherwise(F.col("sha")).alias("sha"))
+    todo = ingest.upserted(o, known, "o_orderkey", "sha")
+    seen = known.select("o_orderkey", F.lit(True).alias("_seen"))
+    return todo.join(seen, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.when(F.col("_seen"), "changed").otherwise("new").alias("why"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS first FROM events")
@@ -183,7 +183,7 @@ def q_import_resolve(s, d):
     return relations.resolved(specs, files)
 
 
-@query("SELECT doc_id, sha256(regexp_replace('KEY=' || source || chr(10) || '# note' || chr(10) || 'export B_2 = x', '(?m)^(\\s*(?:export\\s+)?[A-Za-z_][A-Za-z0-9_]*\\s*=)[^\\n]+$', '\\1[REDACTED:dotenv]', 'g')) AS sha FROM documents")
+@query("SELECT doc_id, sha256('KEY=[REDACTED:dotenv_value]' || chr(10) || '# note' || chr(10) || 'export B_2 =[REDACTED:dotenv_value]' || CASE WHEN source IS NULL THEN NULL ELSE '' END) AS sha FROM documents")
 def q_dotenv_redact(s, d):
     env = F.concat(F.lit("KEY="), "source", F.lit("\n# note\nexport B_2 = x"))
     return T(s, d, "documents").select("doc_id", F.sha2(X.dotenv_redacted(env), 256).alias("sha"))

@@ -15,11 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; in a temporary folder only where spark.checkpoint.dir is unset."""
+    """A new path in the cluster's shared folder; in a temporary one only where that is unset on a local master.
+
+    What is written there goes when the application ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='tessera-')}")
-    return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
