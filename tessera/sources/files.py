@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import io
+import itertools
 import json
 import re
 import xml.etree.ElementTree as ET
@@ -15,13 +16,18 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def parsed(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tuple]], schema: str, glob: str = "*") -> DataFrame:
     """Rows (path, *schema) of parse(content) for each file below path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return parsed_rows(files, parse, schema)
+
+
+def parsed_rows(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows (path, *schema) of parse(content) for each row of files(path, content)."""
     names = ["path", *(c.split()[0] for c in re.split(r",\s*(?![^<]*>)", schema))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -29,7 +35,7 @@ def parsed(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tup
             for p, content in zip(f["path"], f["content"]):
                 yield pd.DataFrame([(p, *r) for r in parse(bytes(content))], columns=names)
 
-    return files.mapInPandas(run, f"path string, {schema}")
+    return files.select("path", "content").mapInPandas(run, f"path string, {schema}")
 
 
 def zip_entries(content: bytes) -> Iterator[tuple]:
@@ -139,8 +145,44 @@ def sheet_table(cells: DataFrame, sheet: str) -> DataFrame:
     return wide.orderBy("row").select(*[F.col(f"`{i}`").alias(n) for i, n in enumerate(names, 1)])
 
 
-def sqlite_rows(content: bytes, sql: str, cap: int = 5000) -> Iterator[tuple]:
-    """(row as JSON,) of a read-only query over the bytes of a SQLite file, at most `cap` rows."""
+def sheet_list(cells: DataFrame) -> DataFrame:
+    """(path, sheet, rows, columns): the sheets with their last row and column in use."""
+    return cells.groupBy("path", "sheet").agg(F.max("row").alias("rows"), F.max("col").alias("columns"))
+
+
+def sheet_range(cells: DataFrame, sheet: str, area: str) -> DataFrame:
+    """The cells of a sheet in an A1 range."""
+    r1, c1, r2, c2 = decode_range(area)
+    return cells.where((F.col("sheet") == sheet) & F.col("row").between(r1, r2) & F.col("col").between(c1, c2))
+
+
+def sheet_head(cells: DataFrame, sheet: str, n: int) -> DataFrame:
+    """The cells of the first n rows in use below the header."""
+    one = cells.where(F.col("sheet") == sheet)
+    top = one.groupBy("path").agg(F.min("row").alias("_top"))
+    rows = one.join(top, "path").where("row > _top").drop("_top")
+    keep = rows.select("path", "row").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("path").orderBy("row"))).where(F.col("_r") <= n)
+    return rows.join(keep.select("path", "row"), ["path", "row"], "left_semi").select(cells.columns)
+
+
+def sheet_columns(cells: DataFrame, sheet: str) -> DataFrame:
+    """(path, col, name, filled, kinds): the columns below their header, with the kinds of cells, sorted."""
+    one = cells.where(F.col("sheet") == sheet)
+    one = one.join(one.groupBy("path").agg(F.min("row").alias("_top")), "path")
+    head = one.where("row = _top").select("path", "col", F.col("value").alias("name"))
+    body = one.where("row > _top").groupBy("path", "col").agg(F.count("*").alias("filled"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    return head.join(body, ["path", "col"], "full_outer").select("path", "col", F.coalesce("name", F.concat(F.lit("col"), "col")).alias("name"), F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+
+
+def sqlite_capped(content: bytes, sql: str, cap: int = 5000) -> Iterator[tuple]:
+    """(row as JSON, capped): as sqlite_rows, at most `cap` rows; capped says on each row whether there are more."""
+    rows = list(itertools.islice(sqlite_rows(content, sql), cap + 1))
+    for r in rows[:cap]:
+        yield *r, len(rows) > cap
+
+
+def sqlite_rows(content: bytes, sql: str) -> Iterator[tuple]:
+    """(row as JSON,) of a read-only query over the bytes of a SQLite file, all rows."""
     import sqlite3
 
     from tessera.plans.sqlguard import check
@@ -152,7 +194,7 @@ def sqlite_rows(content: bytes, sql: str, cap: int = 5000) -> Iterator[tuple]:
     con.execute("PRAGMA query_only = ON")
     cur = con.execute(check(sql))
     names = [c[0] for c in cur.description]
-    for r in cur.fetchmany(cap):
+    for r in cur:
         yield (json.dumps(dict(zip(names, [f"<{len(v)} bytes>" if isinstance(v, bytes) else v for v in r]))),)
 
 
@@ -263,6 +305,28 @@ def coverage_rows(content: bytes) -> Iterator[tuple]:
 COVERAGE = "file string, kind string, line int, hits long"
 
 
+def coverage_totals(content: bytes) -> Iterator[tuple]:
+    """(file, kind, hit, total) of an istanbul summary (lines, statements, functions, branches), or counted from the other formats."""
+    text = content.decode("utf-8-sig")
+    doc = json.loads(text) if text.lstrip().startswith("{") else {}
+    files = {k: v for k, v in doc.items() if k != "total"}
+    if doc and all("lines" in v and "statementMap" not in v for v in files.values()):
+        for name, v in files.items():
+            for kinds, kind in (("lines", "line"), ("functions", "function"), ("branches", "branch")):
+                yield name, kind, v[kinds]["covered"], v[kinds]["total"]
+        return
+    counts: dict[tuple[str, str], list[int]] = {}
+    for name, kind, _, hits in coverage_rows(content):
+        c = counts.setdefault((name, kind), [0, 0])
+        c[0] += hits > 0
+        c[1] += 1
+    for (name, kind), (hit, total) in counts.items():
+        yield name, kind, hit, total
+
+
+TOTALS = "file string, kind string, hit long, total long"
+
+
 def coverage_rollup(rows: DataFrame) -> DataFrame:
     """(file, kind, hit, total, share), the worst first."""
     out = rows.groupBy("file", "kind").agg(F.count_if(F.col("hits") > 0).alias("hit"), F.count("*").alias("total"))
