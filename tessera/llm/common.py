@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Per thread: the tables written under each name of `tables_of`, and the name in force.
+_made = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +43,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    if getattr(_made, "name", None) is not None:
+        _made.tables.setdefault((spark.sparkContext.applicationId, _made.name), []).append(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,6 +57,24 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def tables_of(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables materialized inside belong to `name`; those of other names in this thread and application go at the start.
+
+    For steps that follow each other: when one begins, what the one before returned has been written elsewhere.
+    """
+    tables = _made.tables = getattr(_made, "tables", {})
+    app = spark.sparkContext.applicationId
+    for other in [k for k in tables if k[1] != name]:
+        for target in tables.pop(other) * (other[0] == app):  # those of an ended application are gone
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    before, _made.name = getattr(_made, "name", None), name
+    try:
+        yield
+    finally:
+        _made.name = before
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, lengthened until no column of df has it, whatever the case."""
     have = {c.lower() for c in df.columns}

@@ -86,3 +86,19 @@ def test_decontamination_sql_on_short_items(spark, tmp_path):
     cols = [want.columns.index(c) for c in got.columns]
     assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in cols) for r in want.fetchall())
     assert {r.doc_id: r.n_items for r in got.collect()} == {1: 2, 2: 1, 3: 1, 4: 0, 5: 0, 6: 2, 7: 1}
+
+
+def test_tables_of_a_step_go_when_another_begins(spark):
+    from tessera.llm.common import materialize, tables_of
+
+    df = spark.range(5)
+    with tables_of(spark, "one"):
+        a = materialize(df, "a")
+    with tables_of(spark, "one"):
+        b = materialize(df, "b")
+    outside = materialize(df, "c")
+    assert a.count() == b.count() == 5
+    files = [f.removeprefix("file://") for x in (a, b, outside) for f in x.inputFiles()[:1]]
+    with tables_of(spark, "two"):
+        pass
+    assert [os.path.exists(f) for f in files] == [False, False, True]
