@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, neardup, quality, sharding
-from tessera.llm.common import discard, fresh, materialize, shared_folder, table
+from tessera.llm.common import discard, fresh, materialize, shared_folder, table, tables_of
 
 #: Items whose windows must occur for a document to go; op10's column `contaminated` has a limit of its own.
 LEAST_ITEMS = 1
@@ -62,12 +64,25 @@ def sharding_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.toDF(*docs.columns, *[fresh(docs, c) for c in ("run", "tier", "shard")])
 
 
+
+
+def _step(name: str, stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]:
+    """A stage whose intermediate tables go when another stage begins: by then its result is written."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with tables_of(spark, name):
+            return stage(spark, docs, sf_dir)
+
+    return name, run
+
+
 STAGES = [
-    ("quality classifier", quality_classifier),
-    ("MinHash near-dedup", near_dedup),
-    ("benchmark decontamination", decontamination),
-    ("mixing sources to target weights", mixing_sources),
-    ("sharding", sharding_files),
+    _step("quality classifier", quality_classifier),
+    _step("MinHash near-dedup", near_dedup),
+    _step("benchmark decontamination", decontamination),
+    _step("mixing sources to target weights", mixing_sources),
+    _step("sharding", sharding_files),
 ]
 
 #: The classifier's scores have no SQL form; tests compare the stages with brute force.
