@@ -9,8 +9,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -148,33 +149,61 @@ def sliding_gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def spanning(pairs: Iterator[pa.RecordBatch], most: int = 250_000) -> Iterator[pa.RecordBatch]:
+    """Batches (a, b) to pairs (id, smallest id reachable by them): what a task found as stars, no pair twice.
+
+    Starts anew after `most` ids, so that its memory is bounded.
+    """
+    up: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        top = up.setdefault(i, i)
+        while up[top] != top:
+            top = up[top]
+        while up[i] != top:
+            up[i], i = top, up[i]
+        return top
+
+    def stars() -> pa.RecordBatch:
+        ids = [i for i, j in up.items() if i != j]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(i) for i in ids], pa.int64())], names=["a", "b"])
+
+    for batch in pairs:
+        for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            i, j = find(i), find(j)
+            up[max(i, j)] = min(i, j)
+        if len(up) >= most:
+            yield stars()
+            up.clear()
+    yield stars()
+
+
 def connected(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Components of edges(a, b): rows (id, component), component the smallest id reachable.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes. Every step is a
-    pre-aggregated minimum and a join; no neighbourhood is ever collected.
+    Alternates large-star and small-star steps (Kiveris et al., 2014) until every id hangs on one root and no root hangs
+    on another id. Every step is a pre-aggregated minimum and a join; no neighbourhood is ever collected. The joins are
+    merges: broadcasts of many small steps would stay in the driver until its garbage is collected.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    if now.isEmpty():
-        return now.selectExpr("a AS id", "b AS component")
     for _ in range(rounds):
+        ends = now.selectExpr("a AS id", "1 AS up", "0 AS down").union(now.selectExpr("b AS id", "0 AS up", "1 AS down"))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty():
+            break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a")
+        small = large.join(low2.hint("merge"), "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b")))
         new = materialize(small.where("a <> b").distinct(), name)
-        stable = new.count() == now.count() and new.exceptAll(now).isEmpty()
         discard(now)
         now = new
-        if stable:
-            break
     else:
         raise RuntimeError("components did not settle")
-    lone = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(lone).groupBy("id").agg(F.min("component").alias("component"))
+    roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
 def blocked(df: DataFrame, key: str, size: str, ident: str, most: int, ratio: float) -> DataFrame:
@@ -189,9 +218,9 @@ def blocked(df: DataFrame, key: str, size: str, ident: str, most: int, ratio: fl
     light = few.where(F.col("_n") <= most).withColumns({"unit": F.col(key).cast("string"), "side": F.lit(0)}).drop("_n")
     heavy = few.where(F.col("_n") > most).drop("_n").withColumn("_band", F.floor(F.log(F.greatest(F.col(size), F.lit(1)).cast("double")) / float(-np.log(ratio))))
     bands = heavy.groupBy(key, "_band").agg(F.ceil(F.count("*") / F.lit(most / 2)).alias("_k"))
-    later = bands.select(key, (F.col("_band") - 1).alias("_band"), F.col("_k").alias("_later"))
-    before = bands.select(key, (F.col("_band") + 1).alias("_band"), F.col("_k").alias("_before"))
-    bands = bands.join(later, [key, "_band"], "left").join(before, [key, "_band"], "left").na.fill(0, ["_later", "_before"])
+    beside = Window.partitionBy(key).orderBy("_band")
+    next_to = lambda f, step: F.when(f("_band").over(beside) == F.col("_band") + step, f("_k").over(beside)).otherwise(F.lit(0))
+    bands = bands.withColumns({"_later": next_to(F.lead, 1), "_before": next_to(F.lag, -1)})
     own = F.pmod(F.xxhash64(F.col(ident), F.lit("block")), F.col("_k"))
     unit = lambda b1, i, b2, j: F.concat_ws(":", F.col(key).cast("string"), b1, i, b2, j)
     row = lambda u, s: F.struct(u.alias("unit"), F.lit(s).alias("side"))

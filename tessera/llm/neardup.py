@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tessera.llm.common import WordHashes, blocked, connected, fresh, gram_hashes, materialize
+from tessera.llm.common import WordHashes, blocked, connected, fresh, gram_hashes, materialize, spanning
 
 VALUES, CHUNKS, ERRORS = 32, 8, 15
 SHINGLE = 5
@@ -182,6 +182,11 @@ def _confirmed_links(least: int, n: int):
     return run
 
 
+def _stars(links):
+    """The links that a task finds, as stars: the same components with at most one pair for each id and task."""
+    return lambda batches: spanning(links(batches))
+
+
 def components(docs: DataFrame, least: int = 85, key: str = "doc_id", text: str = "text", n: int = SHINGLE, most: int = 4096) -> DataFrame:
     """Rows (id, n_shingles, component_id), one for each row of docs.
 
@@ -198,13 +203,13 @@ def components(docs: DataFrame, least: int = 85, key: str = "doc_id", text: str
     keys = classes.select(F.col("rep").alias("id"), "n", F.explode(F.array(*masked)).alias("key"))
     units = blocked(keys, "key", "n", "id", most, ratio).select(F.xxhash64("unit").alias("unit"), "side", "id", "n")
     units = units.join(classes.select(F.col("rep").alias("id"), *COLUMNS), "id").repartition("unit").sortWithinPartitions("unit")
-    rough = units.select("unit", "side", "id", "n", *COLUMNS).mapInArrow(_signature_links(least), "a long, b long")
+    rough = units.select("unit", "side", "id", "n", *COLUMNS).mapInArrow(_stars(_signature_links(least)), "a long, b long")
     groups = materialize(connected(rough, "rough"), "groups")
     sized = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id")
     units = blocked(sized, "component", "n", "id", most // 2, ratio).select(F.xxhash64("unit").alias("unit"), "side", "id")
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     near = texts.join(units, "id").select("unit", "side", "id", "text").repartition("unit").sortWithinPartitions("unit")
-    links = near.mapInArrow(_confirmed_links(least, n), "a long, b long")
+    links = near.mapInArrow(_stars(_confirmed_links(least, n)), "a long, b long")
     linked = connected(links, "linked").withColumnRenamed("id", "rep")
     reach = classes.select("set_hi", "set_lo", "rep").join(linked, "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("id", "n_shingles", "set_hi", "set_lo").join(reach, ["set_hi", "set_lo"], "left")
