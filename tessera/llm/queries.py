@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, filteraudit, licenses, merkle, mixing, neardup, pii, quality, sharding, substrings, tokens, toxicity
+from tessera.llm import alignment, decontaminate, filteraudit, licenses, merkle, mixing, neardup, pii, quality, sharding, substrings, tokens, toxicity
 from tessera.llm.common import shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = alignment.align(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+    return out.withColumn("groups_sha256", F.coalesce(F.sha2("groups", 256), F.lit(""))).drop("groups")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,7 +75,7 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_fingerprints, op4_sharding, op5_personal_data, op6_mixing, op7_token_counts, op8_license_scan, op9_substring_dedup, op10_decontaminate, op12_filter_audit, op13_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_fingerprints, op4_sharding, op5_personal_data, op6_mixing, op7_token_counts, op8_license_scan, op9_substring_dedup, op10_decontaminate, op11_token_alignment, op12_filter_audit, op13_toxicity)}
 
 _WORDS10 = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
