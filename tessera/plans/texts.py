@@ -7,9 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import search, textops
+from tessera.operators import search, textindex, textops
 from tessera.plans.registry import query
 from tessera.session import table as T
+from tessera.session import work_path
 
 
 def docs(s, d):
@@ -175,14 +176,54 @@ def _bm(terms):
     return _BM.format(tf=", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms)), df=", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in n), matched=" + ".join(f"(tf{i} > 0)::INT" for i in n), score=" + ".join(part.format(i=i) for i in n))
 
 
+_INDEX: dict[tuple[str, str], str] = {}
+
+
+def index(s, d):
+    """The inverted index of `documents`: made by the first query of an application that asks for it, then read."""
+    at = s.sparkContext.applicationId, d
+    if at not in _INDEX:
+        root = work_path(s, "index")
+        textindex.add(s, root, docs(s, d))
+        _INDEX[at] = root
+    return _INDEX[at]
+
+
 @query(_bm(["from", "which", "tion"]) + " SELECT doc_id, round(score, 6) AS score FROM r WHERE matched > 0 ORDER BY round(score, 6) DESC, doc_id LIMIT 50")
 def q_bm25(s, d):
-    return search.bm25(docs(s, d), "doc_id", "text", ["from", "which", "tion"], "or").select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+    return textindex.top(s, index(s, d), ["from", "which", "tion"], 50).select("doc_id", "score")
 
 
 @query(_bm(["from", "with"]) + " SELECT doc_id, matched::INT AS matched, round(score, 6) AS score FROM r WHERE matched > 0 AND (matched = 2 OR (SELECT max(matched) FROM r) < 2)")
 def q_bm25_and_or(s, d):
-    return search.bm25(docs(s, d), "doc_id", "text", ["from", "with"]).select("doc_id", "matched", F.round("score", 6).alias("score"))
+    return textindex.matches(s, index(s, d), ["from", "with"]).select("doc_id", "matched", F.round("score", 6).alias("score"))
+
+
+@query("SELECT term, count(*)::BIGINT AS df FROM (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS term FROM documents) GROUP BY term")
+def q_index_vocabulary(s, d):
+    return textindex.vocabulary(s, index(s, d))
+
+
+@query(_bm(["from", "which", "tion"]) + " SELECT doc_id, matched::INT AS matched, round(score, 6) AS score FROM r WHERE matched > 0")
+def q_index_updates(s, d):
+    """An index that was filled in three steps, the second one with texts of the first again and the third one merged."""
+    root, rows = work_path(s, "updates"), docs(s, d)
+    textindex.add(s, root, rows.where("doc_id % 3 <> 2").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" which from which")))))
+    textindex.add(s, root, rows.where("doc_id % 3 <> 0"))
+    textindex.merge(s, root)
+    textindex.add(s, root, rows.where("doc_id % 3 = 1"))
+    return textindex.matches(s, root, ["from", "which", "tion"], "or").select("doc_id", "matched", F.round("score", 6).alias("score"))
+
+
+@query(_bm(["heat", "ndnt"]) + """, m AS (SELECT doc_id, round(score, 6) AS score FROM r WHERE matched = 2), l AS (SELECT doc_id, NULL::DOUBLE AS score FROM documents WHERE contains(text, 'heat ndnt') AND NOT EXISTS (FROM m))
+SELECT doc_id, source, score FROM (SELECT * FROM m UNION ALL SELECT * FROM l) JOIN documents USING (doc_id)""")
+def q_recall(s, d):
+    return textindex.recall(s, index(s, d), docs(s, d).select("doc_id", "source", "text"), "heat ndnt", "doc_id").select("doc_id", "source", "score")
+
+
+@query("SELECT doc_id, source, NULL::DOUBLE AS score FROM documents WHERE contains(text, '%%%')")
+def q_recall_literal(s, d):
+    return textindex.recall(s, index(s, d), docs(s, d).select("doc_id", "source", "text"), "%%%", "doc_id").select("doc_id", "source", "score")
 
 
 @query(_bm(["with"]) + " SELECT r.doc_id, source, round(score, 3) AS score FROM r JOIN documents USING (doc_id) WHERE matched > 0 ORDER BY round(score, 3) DESC, length(source), source, r.doc_id LIMIT 80")
@@ -193,7 +234,8 @@ def q_bm25_ties(s, d):
 
 @query(_bm(["thnd", "oner", "hering", "that", "with", "from"]) + " SELECT doc_id, round(score, 6) AS score FROM r WHERE matched > 0 AND doc_id <> 0 ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
 def q_more_like_this(s, d):
-    return search.bm25(docs(s, d), "doc_id", "text", ["thnd", "oner", "hering", "that", "with", "from"], "or").where("doc_id <> 0").select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    hits = textindex.top(s, index(s, d), ["thnd", "oner", "hering", "that", "with", "from"], 21)  # itself and 20 others
+    return hits.where("doc_id <> 0").select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 QUERY = [((i * 37) % 17 - 8) / 34 for i in range(64)]
