@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import search, textindex, textops
+from tessera.operators import search, textindex, textops, vectorjoin
 from tessera.plans.registry import query
 from tessera.session import table as T
 from tessera.session import work_path
@@ -272,6 +272,12 @@ def q_cosine_rank(s, d):
     return T(s, d, "embeddings").select("vec_id", F.round(search.cosine(search.doubles("embedding"), q), 6).alias("cosine")).where("cosine IS NOT NULL").orderBy(F.desc("cosine"), "vec_id").limit(25)
 
 
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other, a.v = b.v AS same, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT e.vec_id, count(other)::BIGINT AS n_links, count(other) FILTER (same)::BIGINT AS n_equal, arg_max(other, c) FILTER (NOT same) AS nearest, round(max(c) FILTER (NOT same), 6) AS cosine FROM e LEFT JOIN p ON e.vec_id = p.vec_id AND c >= 0.92 WHERE e.vec_id % 50 = 0 GROUP BY 1""")
+def q_cosine_links(s, d):
+    return vectorjoin.near_rows(T(s, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0).withColumn("cosine", F.round("cosine", 6))
+
+
 @query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))), 6)) AS unit FROM embeddings")
 def q_l2_normalize(s, d):
     return T(s, d, "embeddings").select("vec_id", F.transform(search.unit(search.doubles("embedding")), lambda x: F.round(x, 6)).alias("unit"))
