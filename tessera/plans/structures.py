@@ -10,8 +10,9 @@ from tessera.operators import graph
 from tessera.plans import sqlguard
 from tessera.plans.registry import query
 from tessera.session import table as T
+from tessera.session import work_path
 from tessera.sources import markup
-from tessera.streaming import ingest
+from tessera.streaming import accumulate, freshness, ingest
 
 _EDGES = "SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1"
 
@@ -138,9 +139,9 @@ def q_table_catalog(s, d):
     return s.createDataFrame([(t, n, c) for t, n, c, _ in rows], "`table` string, position long, `column` string")
 
 
-def event_stream(s, d):
+def event_stream(s, d, files=8):
     schema = T(s, d, "events").schema
-    return ingest.stream(s, d, schema, "events.parquet").withColumn("ts", F.to_timestamp(F.col("ts").cast("string")))
+    return ingest.stream(s, d, schema, "events.parquet", files).withColumn("ts", F.to_timestamp(F.col("ts").cast("string")))
 
 
 @query("SELECT event_type, ts::DATE AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -150,6 +151,40 @@ def q_stream_daily(s, d):
     return out.select("event_type", F.col("day").cast("date").alias("day"), "n", F.round("total", 4).alias("total"))
 
 
+@query("""WITH o AS (SELECT 'u' || user_id AS key, event_id AS seq, event_type AS sha, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'p1' ELSE 'p2' END AS parser FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) = 1),
+l AS (SELECT *, lag(sha) OVER w AS s, lag(parser) OVER w AS p FROM o WINDOW w AS (PARTITION BY key ORDER BY seq))
+SELECT key, seq, CASE WHEN p IS NULL THEN 'added' WHEN p <> parser THEN 'parser' WHEN s = sha THEN 'touched' ELSE 'edited' END AS verdict FROM l""")
+def q_stream_freshness(s, d):
+    """Events as observations of a file for each user: a day is a time of change, the type the content; the parser changes on the 15th."""
+    e = event_stream(s, d, 1000)
+    day = F.unix_timestamp(F.to_date("ts").cast("timestamp"))
+    observed = e.select(F.concat(F.lit("u"), "user_id").alias("path"), F.col("event_type").alias("sha"), (day - 10).alias("mtime"), F.unix_timestamp("ts").alias("indexed"), F.when(F.col("ts") < F.lit("2024-01-15").cast("timestamp"), "p1").otherwise("p2").alias("parser"), F.lit(False).alias("gone"), F.col("event_id").alias("seq"))
+    with freshness.rocks(s):
+        out = ingest.drained(freshness.verdicts(observed))
+    return out.where("verdict <> 'unchanged'").select("key", "seq", "verdict")
+
+
+def census(s, d):
+    """Totals by event type of the users' events; a user with an event whose k is 0 counts as a file that can't be read."""
+    e = event_stream(s, d, 1000).select(F.col("user_id").cast("string").alias("file"), "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    acc = accumulate.Accumulator(s, work_path(s, "totals"), ["event_type"], {"calls": F.lit(1), "k": F.col("k")}, accumulate.first_reason({"no k": F.col("k").isNull(), "zero": F.col("k") == 0}))
+    acc.run(e, work_path(s, "mark"))
+    return acc
+
+
+_CENSUS = "WITH e AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events), f AS (SELECT user_id, CASE WHEN bool_or(k IS NULL) THEN 'no k' ELSE 'zero' END AS reason FROM e GROUP BY 1 HAVING bool_or(k IS NULL OR k = 0)) "
+
+
+@query(_CENSUS + "SELECT event_type, count(*)::BIGINT AS calls, sum(k)::BIGINT AS k FROM e ANTI JOIN f USING (user_id) GROUP BY 1")
+def q_stream_totals(s, d):
+    return census(s, d).totals("event_type string, calls long, k long")
+
+
+@query(_CENSUS + "SELECT user_id::VARCHAR AS file, reason FROM f")
+def q_stream_failed(s, d):
+    return census(s, d).failed()
+
+
 @query("SELECT user_id, event_type FROM events GROUP BY 1, 2")
 def q_dirty_queue(s, d):
     return ingest.drained(ingest.deduplicated(event_stream(s, d), ["user_id", "event_type"], "60 days").select("user_id", "event_type"))
