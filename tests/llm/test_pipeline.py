@@ -28,4 +28,4 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = [q for q in __spark_entry__.queries() if q.startswith("op") or q == "pipeline"]
-    assert len(names) == 11
+    assert len(names) == 14
