@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
-from tessera.operators import intervals, predicates, relations
+from tessera.operators import clustered, intervals, nearnames, predicates, relations
 from tessera.operators.profile import profile
 from tessera.plans.registry import query
 from tessera.session import table as T
@@ -175,9 +174,43 @@ def q_order_limit_offset(s, d):
     return T(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(100).limit(50)
 
 
+_IN_ORDER: dict[tuple[str, str], str] = {}
+
+
+def in_order(s, d):
+    """Customers by segment and name: written by the first query of an application that asks for them, then read."""
+    at = s.sparkContext.applicationId, d
+    if at not in _IN_ORDER:
+        root = work_path(s, "customers")
+        clustered.write(T(s, d, "customer"), root, ["c_mktsegment", "c_name"], 1000)
+        _IN_ORDER[at] = root
+    return _IN_ORDER[at]
+
+
 @query("SELECT c_mktsegment, c_name, c_custkey FROM customer WHERE (c_mktsegment, c_name) > ('BUILDING', 'Customer#000000700') ORDER BY 1, 2 LIMIT 200")
 def q_keyset_page(s, d):
-    return relations.page_after(T(s, d, "customer").select("c_mktsegment", "c_name", "c_custkey"), ["c_mktsegment", "c_name"], ["BUILDING", "Customer#000000700"], 200)
+    """A page of a table that was written in key order: its index names the files that hold the page."""
+    return clustered.page(s, in_order(s, d), ["c_mktsegment", "c_name"], ["BUILDING", "Customer#000000700"], 200).select("c_mktsegment", "c_name", "c_custkey")
+
+
+@query("SELECT c_mktsegment, c_name, c_acctbal FROM customer WHERE starts_with(c_mktsegment, 'B')")
+def q_keyset_scope(s, d):
+    return clustered.scope(s, in_order(s, d), "c_mktsegment", "B").select("c_mktsegment", "c_name", "c_acctbal")
+
+
+@query("WITH n AS (SELECT c_name, bool_or(c_custkey % 50 = 0) AS asked FROM customer GROUP BY 1) SELECT a.c_name AS name, b.c_name AS near, levenshtein(a.c_name, b.c_name)::BIGINT AS distance FROM n a JOIN n b ON a.asked AND a.c_name <> b.c_name AND levenshtein(a.c_name, b.c_name) <= 2")
+def q_near_names(s, d):
+    return nearnames.near_names(T(s, d, "customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 50 == 0).alias("asked")))
+
+
+@query("WITH n AS (SELECT DISTINCT p_name FROM part), q AS (SELECT DISTINCT p_name || 's' AS name FROM part WHERE p_partkey % 50 = 0) SELECT name, p_name AS near, levenshtein(name, p_name)::BIGINT AS distance, row_number() OVER (PARTITION BY name ORDER BY levenshtein(name, p_name), p_name)::INT AS rank FROM q JOIN n ON name <> p_name AND levenshtein(name, p_name) <= 3 QUALIFY rank <= 5")
+def q_near_suggestions(s, d):
+    """Names that aren't there, with what could have been meant."""
+    p = T(s, d, "part")
+    asked = p.where("p_partkey % 50 = 0").select(F.concat("p_name", F.lit("s")).alias("name"), F.lit(True).alias("asked"))
+    known = p.select(F.col("p_name").alias("name"), F.lit(False).alias("asked"))
+    found = nearnames.near_names(known.union(asked), 3).join(known.select(F.col("name").alias("near")).distinct(), "near", "left_semi")
+    return nearnames.nearest(found, 5)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 100")
