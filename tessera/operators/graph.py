@@ -113,7 +113,8 @@ def communities(edges: DataFrame, rounds: int = 24, levels: int = 12) -> DataFra
     Local moving: each node goes to the neighbours' community with the greatest gain in modularity over staying, the
     least name in ties. Nodes move side by side, half of them (by hash) in a round, and of two single nodes only the
     greater goes to the lesser, so that labels never swap for ever (Lu, Halappanavar and Kalyanaraman, 2015). Where two
-    rounds move nothing, or after `rounds`, communities become nodes and it starts again, as long as modularity grows.
+    rounds move nothing, or after `rounds`, communities become nodes and it starts again, as long as modularity grows; if it
+    still does after `levels`, that is an error.
     Every community's sums are aggregated before the shuffle; no neighbourhood is collected.
     """
     e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("w").cast("double").alias("w"))
@@ -146,6 +147,8 @@ def communities(edges: DataFrame, rounds: int = 24, levels: int = 12) -> DataFra
         e = whole
         if e.where("a <> b").isEmpty():
             break
+    else:
+        raise RuntimeError(f"communities still grew after {levels} levels")
     return member
 
 

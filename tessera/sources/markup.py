@@ -1,4 +1,4 @@
-"""HTML as node tables: a tolerant parser that yields (node, parent, tag, path, attrs, text), and lint issues."""
+"""HTML as node tables: a tolerant parser that yields (node, parent, tag, path, attrs, text, issue, last), and lint issues."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "article", "footer", "nav", "section"}, "li": {"li"}, "td": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 MAX_DEPTH = 512
-SCHEMA = "node int, parent int, tag string, path string, attrs map<string,string>, text string, issue string"
+SCHEMA = "node int, parent int, tag string, path string, attrs map<string,string>, text string, issue string, last int"
 
 
 class Nodes(HTMLParser):
@@ -57,8 +57,12 @@ class Nodes(HTMLParser):
         for i in self.open:
             if self.rows[i][2] not in CLOSES:
                 self.rows[i][6] = "unclosed"
-        for r in self.rows:
+        for i, r in enumerate(self.rows):
             r[5] = "".join(r[5])
+            r.append(i)
+        for r in reversed(self.rows):  # the last node inside each: nodes are numbered as they open
+            if r[1] is not None:
+                self.rows[r[1]][7] = max(self.rows[r[1]][7], r[7])
         return self.rows
 
 
@@ -70,11 +74,14 @@ def parse(html: str | None) -> list[list]:
 
 
 def nodes(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, node, parent, tag, path, attrs, text, issue): a row for each element of each page."""
+    """(key, node, parent, tag, path, attrs, text, issue, last): a row for each element of each page.
+
+    Nodes are numbered in document order, so that those inside an element are the ones after it up to its last.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("path", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("issue", pa.string())])
+        schema = pa.schema([("node", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("path", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("issue", pa.string()), ("last", pa.int32())])
         for batch in batches:
             keys, rows = [], []
             for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -116,27 +123,19 @@ def _simple(step: str):
 
 
 def _match(table: DataFrame, key: str, selector: str) -> DataFrame:
-    """Steps from left to right; a descendant is found by its path of tags and node order, a child by its parent."""
+    """Steps from left to right. A child is found by its parent's number; a descendant, at any depth, by an element before it whose last node isn't before it."""
     steps = selector.replace(">", " > ").split()
     now, child = table.where(_simple(steps[0])), False
     for step in steps[1:]:
         if step == ">":
             child = True
             continue
-        up = now.select(key, F.col("node").alias("_up"))
-        cand = table
+        cand = table.where(_simple(step))
         if child:
-            now = cand.where(_simple(step)).join(up, [key]).where("parent = _up").drop("_up").dropDuplicates([key, "node"])
+            now = cand.join(now.select(key, F.col("node").alias("parent")), [key, "parent"], "left_semi").select(table.columns)
         else:
-            live, hit = up, None
-            kids = table.select(key, F.col("node").alias("_kid"), F.col("parent").alias("_up"))
-            depth = 0
-            while depth < 16:  # element nesting below a match
-                live = live.join(kids, [key, "_up"]).select(key, F.col("_kid").alias("_up"))
-                hit = live if hit is None else hit.unionByName(live)
-                depth += 1
-                if depth % 4 == 0 and live.isEmpty():
-                    break
-            now = cand.where(_simple(step)).join(hit.distinct().withColumnRenamed("_up", "node"), [key, "node"], "left_semi")
+            both = cand.withColumn("_last", F.lit(None).cast("int")).unionByName(now.select(key, "node", F.col("last").alias("_last")), allowMissingColumns=True)
+            before = Window.partitionBy(key).orderBy("node").rangeBetween(Window.unboundedPreceding, -1)
+            now = both.withColumn("_reach", F.max("_last").over(before)).where("_last IS NULL AND _reach >= node").select(table.columns)
         child = False
     return now
