@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import search, textindex, textops, vectorjoin
+from tessera.operators import search, structure, textindex, textops, vectorjoin
 from tessera.plans.registry import query
 from tessera.session import table as T
 from tessera.session import work_path
@@ -92,6 +92,18 @@ def q_chunking(s, d):
     return textops.chunks(docs(s, d), "doc_id", "text", 1000, 200)
 
 
+@query(f"""WITH RECURSIVE l AS ({_LINES}), o AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo FROM l),
+m AS (SELECT doc_id, 0::BIGINT AS lo FROM documents WHERE length(text) > 0 UNION SELECT doc_id, lo FROM o WHERE {_HEAD}),
+s AS (SELECT m.doc_id, m.lo, coalesce(lead(m.lo) OVER w, length(text))::BIGINT AS hi, row_number() OVER w AS i FROM m JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY m.doc_id ORDER BY m.lo)),
+f AS (SELECT doc_id, i, 0::BIGINT AS pack, hi - lo AS size FROM s WHERE i = 1 UNION ALL SELECT s.doc_id, s.i, pack + (size + hi - lo > 1200)::INT, CASE WHEN size + hi - lo > 1200 THEN hi - lo ELSE size + hi - lo END FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1),
+p AS (SELECT doc_id, pack, min(lo) AS lo, max(hi) AS hi FROM f JOIN s USING (doc_id, i) GROUP BY ALL),
+c AS (SELECT doc_id, lo AS span, hi AS stop, unnest(range(0, greatest(ceil((hi - lo - 150) / 1050.0), 1)::BIGINT)) AS w FROM p)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY span, w) - 1 AS chunk, span + w * 1050 AS lo, least(span + w * 1050 + 1200, stop) AS hi,
+       CASE WHEN w > 0 THEN 'window' WHEN span >= (SELECT min(lo) FROM o WHERE o.doc_id = c.doc_id AND {_HEAD}) THEN 'section' ELSE 'text' END AS kind, text[span + w * 1050 + 1:least(span + w * 1050 + 1200, stop)] AS body FROM c JOIN documents USING (doc_id)""")
+def q_chunks_structural(s, d):
+    return structure.by_headings(docs(s, d), "doc_id", "text", r"[^ ]+ [^ ]+\.", 1200, 150)
+
+
 @query("SELECT doc_id, sha256(text) AS sha, left(sha256(text), 12) AS short FROM documents")
 def q_fingerprint(s, d):
     h = F.sha2("text", 256)
