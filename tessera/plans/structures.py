@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tessera.functions import jsonpath
+from tessera.functions import jsonpath, registered
 from tessera.functions import text as X
-from tessera.operators import graph
+from tessera.operators import graph, walk
 from tessera.plans import sqlguard
 from tessera.plans.registry import query
 from tessera.session import table as T
@@ -201,6 +202,36 @@ def q_stateful_skip(s, d):
     return todo.join(seen, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.when(F.col("_seen"), "changed").otherwise("new").alias("why"))
 
 
+_PATHS = "SELECT lower(p_type) || '/' || p_brand || '/' || CASE WHEN p_size % 5 = 0 THEN 'build/' ELSE '' END || replace(p_name, ' ', '_') || '_' || p_partkey || ['.py', '.ts', '.md', '.bin'][p_size % 4 + 1] AS path FROM part"
+
+
+def listing(s, d):
+    """A path for each part, by type and brand."""
+    ending = F.element_at(F.array(*map(F.lit, (".py", ".ts", ".md", ".bin"))), F.col("p_size") % 4 + 1)
+    return T(s, d, "part").select(F.concat(F.lower("p_type"), F.lit("/"), "p_brand", F.lit("/"), F.when(F.col("p_size") % 5 == 0, "build/").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), "p_partkey", ending).alias("path"))
+
+
+@query(f"""WITH p AS ({_PATHS}), k AS (SELECT path, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.md' THEN 'markdown' END AS language, split_part(path, '/', -1) AS name FROM p WHERE path NOT LIKE '%/build/%')
+SELECT path, language FROM k WHERE language IS NOT NULL AND NOT starts_with(path, 'promo/Brand#1/')
+AND NOT CASE WHEN starts_with(path, 'economy/Brand#2/') AND starts_with(name, 'small_') THEN true WHEN starts_with(path, 'economy/') THEN false ELSE path LIKE '%.md' AND NOT starts_with(name, 'cold_') END""")
+def q_walk(s, d):
+    """Files that a walk finds under ignore rules of the root and of two folders below it."""
+    rules = [("", 1, "*.md"), ("", 2, "!cold_*.md"), ("", 3, "/promo/Brand#1/"), ("economy", 1, "# comment"), ("economy", 2, "!*.md"), ("economy/Brand#2", 1, "small_*")]
+    return walk.walk(listing(s, d), s.createDataFrame(rules, "folder string, n int, rule string"))
+
+
+@query(f"SELECT path, replace(lower(path), '\\', '/') AS folded, (length(path) - length(replace(path, '/', '')))::INT AS depth, regexp_extract(path, '[.]([a-z]+)$', 1) AS ending, length(path)::BIGINT AS size FROM ({_PATHS})")
+def q_sql_functions(s, d):
+    """Functions of one's own in an SQL text, as expressions and over batches."""
+    registered.register(s)
+    registered.register_batches(s, "size_of", "long", _size_of)
+    return s.sql("SELECT path, fold_path(path) AS folded, path_depth(path) AS depth, file_ending(path) AS ending, size_of(path) AS size FROM {paths}", paths=listing(s, d))
+
+
+def _size_of(path: pd.Series) -> pd.Series:
+    return path.str.len()
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS first FROM events")
 def q_json_path(s, d):
     out = jsonpath.select(T(s, d, "events").select("event_id", F.concat(F.lit('{"items":['), "props", F.lit("]}")).alias("doc")), "doc", "items[-1].k")
