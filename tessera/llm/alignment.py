@@ -18,6 +18,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,37 +55,39 @@ class Pair:
         kept = "".join(self.b.id_to_piece(i) for i in self.b.encode(" a  b ")) == "▁▁a▁▁b▁"
         self.by_chunks = bool(plain and kept and not within)
         self.space = self.b.piece_to_id("▁")
+        self.length_a = np.zeros(max(self.bytes_a, default=0) + 1, np.int64)
+        self.length_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
+        self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self._batch = getattr(self.a, "encode_batch_fast", self.a.encode_batch)  # without offsets
 
     def chunks(self, text: str) -> list[str]:
         """Parts that are encoded by themselves, each without the space before it."""
         return _CHUNK.split(text) if self.by_chunks else [text]
 
-    def encode(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        for at in range(0, len(parts), 10_000):
-            some = parts[at : at + 10_000]
-            first = self.a.encode_batch([" " + p for p in some], add_special_tokens=False)
-            second = self.b.encode(some, num_threads=1)
-            for p, x, y in zip(some, first, second):
-                yield x.ids, y if p else [self.space]  # the library gives nothing for an empty text
+    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        first = self._batch([" " + p for p in parts], add_special_tokens=False)
+        second = self.b.encode(parts, num_threads=1)
+        return [x.ids for x in first], [y if p else [self.space] for p, y in zip(parts, second)]  # the library gives nothing for an empty text
 
-    def groups(self, part: str, a: list[int], b: list[int]) -> list[bytes] | None:
-        """Keys of the groups of an encoded part; None where the tokens' bytes aren't those of the part and its space."""
+    def exact(self, part: str, a: list[int], b: list[int]) -> bool:
+        """Whether both give back the part and the space before it."""
         whole = b" " + part.encode()
-        left, right = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(left) != whole or b"".join(right) != whole:
-            return None
-        out, i, j, i0, j0, p, q = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if p <= q and i < len(a):
-                p += len(left[i])
-                i += 1
-            else:
-                q += len(right[j])
-                j += 1
-            if p == q and i > i0 and j > j0:
-                out.append(group_key(a[i0:i], b[j0:j]))
-                i0, j0 = i, j
-        return out
+        return b"".join([self.bytes_a[i] for i in a]) == whole == b"".join([self.bytes_b[i] for i in b])
+
+    def groups(self, a: list[list[int]], b: list[list[int]]) -> tuple[list[bytes], np.ndarray]:
+        """Keys of the groups of exactly encoded parts, one after the other, and how many each part has."""
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int32) for x in (a, b))
+        size_a, size_b = self.length_a[flat_a], self.length_b[flat_b]
+        ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
+        both = np.intersect1d(ends_a, ends_b, assume_unique=bool(size_a.all() and size_b.all()))
+        # of tokens without bytes the last one at an end closes the group
+        last_a, last_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
+        first_a, first_b = (np.concatenate([[0], x[:-1]]) for x in (last_a, last_b))
+        bytes_a, bytes_b = flat_a.astype("<i4").tobytes(), flat_b.astype("<i4").tobytes()
+        sizes = [np.array([n], "<i4").tobytes() for n in range(int((last_a - first_a).max(initial=0)) + 1)]
+        keys = [sizes[j - i] + bytes_a[4 * i : 4 * j] + bytes_b[4 * k : 4 * m] for i, j, k, m in zip(first_a.tolist(), last_a.tolist(), first_b.tolist(), last_b.tolist())]
+        part_ends = np.cumsum([len(x) for x in a])
+        return keys, np.diff(np.searchsorted(last_a, part_ends, "right"), prepend=0)
 
 
 def group_key(a: list[int], b: list[int]) -> bytes:
@@ -108,42 +111,52 @@ class Interner:
     def reset(self) -> None:
         self.chunk: dict[str, int] = {}  # its place in the arrays below; -1: bytes differ
         self.number: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
-        self.sizes: list[tuple[int, int]] = []
-
-    def add(self, part: str, a: list[int], b: list[int]) -> None:
-        groups = self.pair.groups(part, a, b)
-        if groups is None:
-            self.chunk[part] = -1
-            return
-        self.chunk[part] = len(self.ids)
-        self.ids.append([self.number.setdefault(g, len(self.number)) for g in groups])
-        self.sizes.append((len(a), len(b)))
+        self.counts = self.ids = np.empty(0, np.int64)
+        self.sizes = np.empty((0, 2), np.int64)
+
+    def numbers(self, keys: list[bytes]) -> np.ndarray:
+        for k in keys:
+            if k not in self.number:
+                self.number[k] = len(self.number)
+        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+
+    def learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 20_000):
+            some = parts[at : at + 20_000]
+            a, b = self.pair.encode(some)
+            good = [self.pair.exact(*x) for x in zip(some, a, b)]
+            if not all(good):
+                self.chunk.update((p, -1) for p, g in zip(some, good) if not g)
+                some, a, b = ([x for x, g in zip(xs, good) if g] for xs in (some, a, b))
+            if not some:
+                continue
+            keys, counts = self.pair.groups(a, b)
+            self.chunk.update(zip(some, range(len(self.counts), len(self.counts) + len(some))))
+            self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, self.numbers(keys)])
+            self.sizes = np.concatenate([self.sizes, np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64)])
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
         """(tokens of A, tokens of B, numbers of the groups in order) of each text; none where there are no tokens."""
         parts = [self.pair.chunks(t) if t else [] for t in texts]
-        new = list({p for ps in parts for p in ps if p not in self.chunk})
-        for p, (a, b) in zip(new, self.pair.encode(new)):
-            self.add(p, a, b)
-        counts = np.array([len(x) for x in self.ids], np.int64)
-        flat = np.fromiter((g for x in self.ids for g in x), np.int64, int(counts.sum()))
-        starts, sizes = np.cumsum(counts) - counts, np.array(self.sizes, np.int64).reshape(-1, 2)
+        self.learn(list({p for ps in parts for p in ps if p not in self.chunk}))
+        starts = np.cumsum(self.counts) - self.counts
         for t, ps in zip(texts, parts):
             at = np.fromiter(map(self.chunk.__getitem__, ps), np.int64, len(ps))
             if (at < 0).any():
-                (a, b), whole = next(self.pair.encode([t])), None
-                if len(ps) > 1:
-                    whole = self.pair.groups(t, a, b)
-                if whole is None:
-                    yield 0, 0, np.empty(0, np.int64)
-                else:
-                    yield len(a), len(b), np.array([self.number.setdefault(g, len(self.number)) for g in whole], np.int64)
+                yield self.whole(t)
                 continue
-            n = counts[at]
+            n = self.counts[at]
             total = int(n.sum())
-            place = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[at], n)
-            yield int(sizes[at, 0].sum()), int(sizes[at, 1].sum()), flat[place]
+            place = np.arange(total) + np.repeat(starts[at] - np.cumsum(n) + n, n)
+            a, b = self.sizes[at].sum(axis=0).tolist()
+            yield a, b, self.ids[place]
+
+    def whole(self, text: str) -> tuple[int, int, np.ndarray]:
+        """A text with a part that isn't given back, encoded as one: as a whole it could be."""
+        a, b = self.pair.encode([text])
+        if not self.pair.exact(text, a[0], b[0]):
+            return 0, 0, np.empty(0, np.int64)
+        return len(a[0]), len(b[0]), self.numbers(self.pair.groups(a, b)[0])
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -258,12 +271,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(*shared.value)
-        la = np.zeros(max(pair.bytes_a, default=0) + 1, np.int64)
-        for i, x in pair.bytes_a.items():
-            la[i] = len(x)
-        lb = np.array([len(x) for x in pair.bytes_b])
         for batch in batches:
-            out = [(k, a, b, n, times) for k, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for (a, b), n in expand(k, la, lb, rule).items()]
+            out = [(k, a, b, n, times) for k, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for (a, b), n in expand(k, pair.length_a, pair.length_b, rule).items()]
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["key", "a", "b", "n", "times"])
 
