@@ -13,6 +13,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
+
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 MOST_FILTERS = 7
 COUNTS = ("n", "good", "toxic")
@@ -43,6 +45,7 @@ def mask_counts(docs: DataFrame, labels: DataFrame, filters: dict[str, Column] |
     rows = rows.join(known, "k", "left").fillna(0, ["good", "toxic"])
     least = F.min(F.struct("k", "c"))
     groups = rows.withColumn("keyless", F.col("k").isNull()).groupBy("digest", "part", "mask", "good", "toxic", "keyless").agg(F.sum("c").alias("c"), least.alias("least"))
+    groups = materialize(groups, "groups")  # narrow; read twice
     firsts = groups.where("NOT keyless").groupBy("digest").agg(F.min("least.k").alias("first"))
     groups = groups.join(firsts, "digest", "left")
     original = F.when(F.col("keyless"), F.col("c")).when(F.col("least.k") == F.col("first"), F.col("least.c")).otherwise(0)
