@@ -193,11 +193,13 @@ class Scores(dict):
             self.update(zip(part, total.tolist()))
 
 
-FEATURES = 4
+FEATURES = 7
+#: A word's part of a margin from which it counts as one that may be meant, and where it counts in full.
+LOW, HIGH = 0.4, 0.6
 
 
 def features(texts: list[str | None], scores: Scores) -> np.ndarray:
-    """(texts, FEATURES): greatest margin, mean of positive margins, sentences with one (log), their share; -1, 0, 0, 0 without words."""
+    """(texts, FEATURES): greatest margin, mean of positive margins, sentences with one (log), their share; greatest part of a word, words of a high part (log), their share; -1 and zeros without words."""
     out = np.zeros((len(texts), FEATURES))
     out[:, 0] = -1
     if scores.margins is None:
@@ -230,11 +232,13 @@ def _of_text(words: list[str], more: list[str], scores: Scores) -> np.ndarray:
     values[1:][(values[1:] == values[:-1]) & (owner[1:] == owner[:-1])] = 0  # a word again in one sentence
     margins = np.bincount(owner, weights=values)
     if more:
-        margins = np.concatenate([margins, [scores[w] - END * (scores[w] > END / 2) for w in more]])
+        joined = np.array([scores[w] - END * (scores[w] > END / 2) for w in more])
+        margins, values = np.concatenate([margins, joined]), np.concatenate([values, joined])
     margins += scores.model.bias
     high = np.maximum(margins, 0)
     hits = np.minimum(high, 1).sum()
-    return np.array([margins.max().clip(-3, 3), np.minimum(high, 2).mean(), np.log1p(hits), hits / len(margins)])
+    meant = np.clip((values - LOW) / (HIGH - LOW), 0, 1).sum()
+    return np.array([margins.max().clip(-3, 3), np.minimum(high, 2).mean(), np.log1p(hits), hits / len(margins), values.max().clip(0, 2), np.log1p(meant), min(10 * meant / n, 1)])
 
 
 def landmarks(bags: list[tuple[int, list[list[str]]]]) -> list[str]:
