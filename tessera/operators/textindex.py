@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.search import K1, B
 
-BUCKETS, SLICE, BLOCK, DIGITS = 32, 1_000_000, 256, 6
+BUCKETS, SLICE, BLOCK, DIGITS = 32, 50_000_000, 256, 6  # SLICE: words of the documents of one slice
 PATTERN = "[^a-z]+"
 
 
@@ -57,6 +57,19 @@ def _commit(spark: SparkSession, root: str, now: dict) -> None:
     stream.close()
 
 
+def repair(spark: SparkSession, root: str) -> bool:
+    """Remove the last version's file if its writer died in it: readers pass over it, writers fail on it until then.
+
+    For when no writer is at work, since a file that is being written looks the same.
+    """
+    fs, folder = _file(spark, f"{root}/versions")
+    names = sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+    torn = bool(names) and int(names[-1].split(".")[0]) > state(spark, root)["version"]
+    if torn:
+        fs.delete(_file(spark, f"{root}/versions/{names[-1]}")[1], False)
+    return torn
+
+
 def _sizes(lengths: DataFrame) -> tuple[int, int, int]:
     """Documents, those with a text, words."""
     return tuple(lengths.agg(F.count("*"), F.count("len"), F.coalesce(F.sum("len"), F.lit(0))).first())
@@ -115,9 +128,9 @@ def _impact(tf: Column, size: Column, average: float) -> Column:
     return tf / (tf + K1 * (1 - B + B * size / average))
 
 
-def _write(spark: SparkSession, root: str, postings: DataFrame, docs: int, average: float) -> None:
-    """postings(key, term, tf, len) as sorted blocks in bucket folders; a task holds one bucket of one slice of documents."""
-    slices = max(1, math.ceil(docs / SLICE))
+def _write(spark: SparkSession, root: str, postings: DataFrame, size: int, average: float) -> None:
+    """postings(key, term, tf, len) as sorted blocks in bucket folders; a task holds one bucket of one slice of documents; size: words in all."""
+    slices = max(1, math.ceil(size / SLICE))
     kind = postings.schema["key"].dataType.simpleString()
     rows = postings.select((F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int").alias("bucket"), "term", _impact(F.col("tf"), F.col("len"), average).alias("impact"), "key", "tf", "len")
     part = F.col("bucket") * slices + F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")
@@ -143,7 +156,7 @@ def add(spark: SparkSession, root: str, docs: DataFrame, key: str = "doc_id", te
     average = total / max(texts, 1) or 1.0
     kind = rows.schema["key"].dataType.simpleString()
     postings = rows.select("key", F.size(words(F.col("text"))).alias("len"), "text").where("text IS NOT NULL").mapInArrow(_counted, f"key {kind}, term string, tf int, len int")
-    _write(spark, segment, postings, n, average)
+    _write(spark, segment, postings, total, average)
     now = before | {"version": before["version"] + 1, "segments": [*before["segments"], {"path": segment, "average": average}], "docs": before["docs"] + n, "texts": before["texts"] + texts, "words": before["words"] + total}
     if before["segments"]:
         gone = _live(spark, before).join(lengths.select("key"), "key")
@@ -192,7 +205,7 @@ def merge(spark: SparkSession, root: str) -> dict:
     segment = f"{root}/segments/{uuid.uuid4().hex}"
     _live(spark, now).select("key", "len").write.parquet(f"{segment}/lengths")
     average = _average(now)
-    _write(spark, segment, _hits(spark, now, _blocks(spark, now, None)), now["docs"], average)
+    _write(spark, segment, _hits(spark, now, _blocks(spark, now, None)), now["words"], average)
     now |= {"version": now["version"] + 1, "segments": [{"path": segment, "average": average}], "gone": False}
     _commit(spark, root, now)
     return now

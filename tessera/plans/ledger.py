@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import ledger
+from tessera.operators import keyedstore, ledger
 from tessera.plans.registry import query
 from tessera.session import table as T
+from tessera.session import work_path
 
 
 def events(s, d):
@@ -134,6 +135,17 @@ def q_cache_evict(s, d):
     return ledger.evict(e, "shard", "ts", "event_id", "value", F.expr("TIMESTAMP_NTZ '2024-01-20'"), 300, 6000).select("event_id")
 
 
+@query("""WITH r AS (SELECT event_type || '/' || user_id AS key, epoch_us(ts)::BIGINT AS stored_at, props AS text FROM events), l AS (SELECT key, max(stored_at) AS stored_at, arg_max(text, (stored_at, text)) AS text FROM r GROUP BY 1),
+t AS (SELECT *, sum(strlen(text)) OVER (ORDER BY stored_at DESC, key) AS running FROM l) SELECT key, stored_at, text FROM t WHERE running <= 5000""")
+def q_keyed_store(s, d):
+    """The last event of each user and type, put into a store in two halves; the latest ones that fit into 5,000 bytes stay."""
+    root = work_path(s, "entries")
+    rows = T(s, d, "events").select(F.concat_ws("/", "event_type", "user_id").alias("key"), F.unix_micros(F.to_timestamp(F.col("ts").cast("string"))).alias("stored_at"), F.col("props").alias("text"), "value")
+    keyedstore.put(s, root, rows.where("value < 50").drop("value"))
+    keyedstore.put(s, root, rows.where("value >= 50 OR value IS NULL").drop("value"), 5000)
+    return keyedstore.entries(s, root)
+
+
 @query("""SELECT user_id, event_id AS failed_id, solved_id FROM (SELECT *, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS solved_id FROM events) WHERE event_type = 'error' AND solved_id IS NOT NULL""")
 def q_recovery_pairs(s, d):
     return ledger.recoveries(events(s, d), "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "purchase", "event_id")
