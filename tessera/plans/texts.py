@@ -339,15 +339,30 @@ def q_rrf_multi(s, d):
     return search.fuse_channels(named.unionByName(text))
 
 
-@query("""WITH l AS (SELECT doc_id, quality FROM labels), """ + _bm(["from", "with", "tion"])[5:] + """, k AS (SELECT source, r.doc_id, coalesce(quality, 0) AS q, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, r.doc_id) AS rank FROM r JOIN documents USING (doc_id) LEFT JOIN l USING (doc_id) WHERE matched > 0), ff AS (SELECT source, min(CASE WHEN q = 1 THEN rank END) AS first FROM k WHERE rank <= 10 GROUP BY 1)
-SELECT count(*) AS queries, round(avg((first IS NOT NULL)::INT), 6) AS hit, round(avg(coalesce(1.0 / first, 0)), 6)::DOUBLE AS mrr FROM ff""")
-def q_retrieval_mrr(s, d):
+def first_good(s, d):
+    """The first rank of a good document in each source's best ten, null without one."""
     hits = search.bm25(docs(s, d), "doc_id", "text", ["from", "with", "tion"], "or").join(docs(s, d).select("doc_id", "source"), "doc_id").join(T(s, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc(F.round("score", 6)), "doc_id"))).where("rank <= 10")
     first = hits.groupBy("source").agg(F.min(F.when(F.col("quality") == 1, F.col("rank"))).alias("first"))
+    return first
+
+
+@query("""WITH l AS (SELECT doc_id, quality FROM labels), """ + _bm(["from", "with", "tion"])[5:] + """, k AS (SELECT source, r.doc_id, coalesce(quality, 0) AS q, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, r.doc_id) AS rank FROM r JOIN documents USING (doc_id) LEFT JOIN l USING (doc_id) WHERE matched > 0), ff AS (SELECT source, min(CASE WHEN q = 1 THEN rank END) AS first FROM k WHERE rank <= 10 GROUP BY 1)
+SELECT count(*) AS queries, round(avg((first IS NOT NULL)::INT), 6) AS hit, round(avg(coalesce(1.0 / first, 0)), 6)::DOUBLE AS mrr FROM ff""")
+def q_retrieval_mrr(s, d):
+    first = first_good(s, d)
     return first.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("first").isNotNull().cast("int")), 6).alias("hit"), F.round(F.avg(F.coalesce(F.try_divide(F.lit(1.0), "first"), F.lit(0.0))), 6).alias("mrr"))
 
 
+@query()
+def q_retrieval_interval(s, d):
+    """A 95 % interval of the mean reciprocal rank over the sources."""
+    from tessera.operators import relations
+
+    ranks = first_good(s, d).select("source", F.coalesce(F.try_divide(F.lit(1.0), "first"), F.lit(0.0)).alias("rr"))
+    return relations.bootstrap(ranks, "source", "rr").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 @query("SELECT lang, count(*) AS files, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
 def q_lang_tally(s, d):
     return docs(s, d).groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
