@@ -71,7 +71,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             end = at + 1
         at = text.find("@", end)
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p[-3:]) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             d = digits_of(m[0])
             if 12 <= len(d) <= 19 and luhn(d):
@@ -399,8 +399,9 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """Rows (key, n_email, n_ip, n_card, n_phone, base_sha256, spans), one for each row of docs.
 
-    The numbers count all spans, base ones and added ones. Null and empty texts hold none; null keys are kept;
-    repeated rows get the same result each. Very long texts are read whole, window by window.
+    The numbers and the hash are of the base spans; `spans` lists those and what the tagger adds. Null and empty texts
+    hold none; null keys are kept; repeated rows get the same result each. Very long texts are read whole, window by
+    window.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger or train())
 
@@ -408,7 +409,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text",
         model = shared.value
         for batch in batches:
             found = find_all([t or "" for t in batch.column(1).to_pylist()], model)
-            counts = [pa.array([sum(s[0] == k for s in a) for _, a in found], pa.int64()) for k in KINDS]
+            counts = [pa.array([sum(s[0] == k for s in b) for b, _ in found], pa.int64()) for k in KINDS]
             cols = [batch.column(0), *counts, pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b, _ in found]), pa.array([written(a) for _, a in found], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[key, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 

@@ -304,6 +304,15 @@ def test_tagger_on_held_out_windows(tagger):
     assert (tagger.decode(ids) == gold).mean() > 0.85
 
 
+def test_counts_are_of_base_spans(spark, tagger):
+    texts = [*pii.labelled(60, 99)[2], "ip " + "0" * 5000 + ".1.2.3"]  # an int() of that many digits is refused
+    got = pii.find_personal_data(spark.createDataFrame(rows(texts), SCHEMA), tagger=tagger).collect()
+    assert any(len(r.spans.split(",")) > r.n_email + r.n_ip + r.n_card + r.n_phone > 0 for r in got)
+    for r in got:
+        base = naive_spans(texts[r.doc_id]) if len(texts[r.doc_id]) < 1000 else [("ip", 3, 5009)]
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+
+
 def test_gradients():
     t = pii.Tagger(1)
     ids, gold, _, _ = pii.labelled(3, 1)
