@@ -81,6 +81,12 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x / n))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x of moderate size rounded as binary doubles are in C: halves away from zero, and a negative x never becomes 0 without its sign."""
+    y = F.abs(x) * 10.0**digits
+    return F.signum(x) * (F.floor(y) + F.when(y - F.floor(y) >= 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Null where a norm is 0."""
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
