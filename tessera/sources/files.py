@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+FRAME = 8192  # rows
+
+
 def parsed(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tuple]], schema: str, glob: str = "*") -> DataFrame:
     """Rows (path, *schema) of parse(content) for each file below path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
@@ -27,13 +30,20 @@ def parsed(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tup
 
 
 def parsed_rows(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
-    """Rows (path, *schema) of parse(content) for each row of files(path, content)."""
+    """Rows (path, *schema) of parse(content) for each row of files(path, content); many small files make one frame."""
     names = ["path", *(c.split()[0] for c in re.split(r",\s*(?![^<]*>)", schema))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=names, dtype=object)
         for f in frames:
+            rows: list[tuple] = []
             for p, content in zip(f["path"], f["content"]):
-                yield pd.DataFrame([(p, *r) for r in parse(bytes(content))], columns=names)
+                for r in parse(bytes(content)):
+                    rows.append((p, *r))
+                    if len(rows) == FRAME:
+                        yield frame(rows)
+                        rows = []
+            yield frame(rows)
 
     return files.select("path", "content").mapInPandas(run, f"path string, {schema}")
 
