@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "article", "footer", "nav", "section"}, "li": {"li"}, "td": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
-MAX_DEPTH = 512
+MAX_DEPTH, PAGES = 512, 64  # PAGES: whose nodes a task holds at once
 SCHEMA = "node int, parent int, tag string, path string, attrs map<string,string>, text string, issue string, last int"
 
 
@@ -83,13 +83,15 @@ def nodes(df: DataFrame, key: str, html: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("node", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("path", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("issue", pa.string()), ("last", pa.int32())])
         for batch in batches:
-            keys, rows = [], []
-            for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for r in parse(h):
-                    keys.append(k)
-                    rows.append(dict(zip(schema.names, [*r[:4], list(r[4].items()), *r[5:]])))
-            body = pa.RecordBatch.from_pylist(rows, schema=schema)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *body.columns], names=[key, *schema.names])
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                keys, rows = [], []
+                for k, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for r in parse(h):
+                        keys.append(k)
+                        rows.append([*r[:4], list(r[4].items()), *r[5:]])
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *columns], names=[key, *schema.names])
 
     return df.select(key, html).mapInArrow(run, f"`{key}` {kind}, {SCHEMA}")
 
