@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes for each token by content class, and the guard factor.
 BYTES_PER_TOKEN = {"text": 4.0, "dense": 1.45, "wide": 3.6}
@@ -166,14 +169,32 @@ def packed(df: DataFrame, text: str, out: str = "packed") -> DataFrame:
     import base64
     import zlib
 
-    @F.pandas_udf("string")
-    def run(texts):
-        def one(t):
-            if t is None:
-                return None
-            b = base64.b64encode(zlib.compress(t.encode(), 9)).decode()
-            return b if len(b) < len(t.encode()) else None
+    def one(t):
+        if t is None:
+            return None
+        b = base64.b64encode(zlib.compress(t.encode(), 9)).decode()
+        return b if len(b) < len(t.encode()) else None
 
-        return texts.map(one)
+    return mapped(df, text, one, out)
 
-    return df.withColumn(out, run(F.col(text)))
+
+def unpacked(df: DataFrame, packed: str, out: str) -> DataFrame:
+    """df with `out`: the text of a `packed` column, null for null."""
+    import base64
+    import zlib
+
+    return mapped(df, packed, lambda b: None if b is None else zlib.decompress(base64.b64decode(b)).decode(), out)
+
+
+def mapped(df: DataFrame, column: str, one: Callable[[str | None], str | None], out: str, rows: int = 64) -> DataFrame:
+    """df with the text column `out`: one(value of the column), for texts so long that a task should hold only `rows` of them at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = pa.array([one(t) for t in part.column(column).to_pylist()], pa.string())
+                kept = [(n, c) for n, c in zip(part.schema.names, part.columns) if n != out]
+                yield pa.RecordBatch.from_arrays([*(c for _, c in kept), made], names=[*(n for n, _ in kept), out])
+
+    return df.mapInArrow(run, StructType([f for f in df.schema.fields if f.name != out]).add(out, "string"))

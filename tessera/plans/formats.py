@@ -345,12 +345,8 @@ def q_clock_ms(s, d):
 @query("SELECT doc_id, sha256(repeat(text, 3)) AS sha FROM documents WHERE length(text) > 200")
 def q_packed(s, d):
     """Texts packed (deflate, base64) and unpacked again; long repeating ones are always shorter packed."""
-    import base64
-    import zlib
-
-    back = F.pandas_udf(lambda t: t.map(lambda x: zlib.decompress(base64.b64decode(x)).decode() if x else None), "string")
     rows = X.packed(T(s, d, "documents").where("length(text) > 200").select("doc_id", F.expr("repeat(text, 3)").alias("text")), "text")
-    return rows.select("doc_id", F.sha2(back("packed"), 256).alias("sha"))
+    return X.unpacked(rows.select("doc_id", "packed"), "packed", "text").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
 # Extractors
