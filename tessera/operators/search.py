@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,16 +105,58 @@ def fused(lists: list[DataFrame], key: str) -> DataFrame:
     return both.groupBy(key).agg(F.sum("s").alias("score"))
 
 
+class Hit(NamedTuple):
+    file: int | None
+    lo: int
+    hi: int
+    distance: float | None
+    structural: bool | None
+
+
+class Ranked(NamedTuple):
+    file: int | None
+    channel: str | None
+    name: str | None
+    lo: int
+    hi: int
+    rank: int
+
+
+def _by_file(hits: DataFrame, kind: type, order: list[Column], fold: Callable[[list], list[tuple]], schema: str, rows: int = 8192) -> DataFrame:
+    """fold(hits of one file in their order) for each file: a task reads its files one after the other, sorted, and holds one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        types = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+        now: list = []
+        out: list[tuple] = []
+        for batch in batches:
+            for r in map(kind, *(c.to_pylist() for c in batch.columns)):
+                if now and now[0].file != r.file:
+                    out += fold(now)
+                    now = []
+                    if len(out) >= rows:
+                        yield made(out)
+                        out = []
+                now.append(r)
+        out += fold(now) if now else []
+        if out:
+            yield made(out)
+
+    return hits.select(*kind._fields).repartition("file").sortWithinPartitions("file", *order).mapInArrow(run, schema)
+
+
 def merge_nearby(hits: DataFrame, gap: int = 20) -> DataFrame:
     """hits(file, lo, hi, distance, structural) merged greedily within each file, best first.
 
     A hit joins a kept one that it overlaps, or lies at most `gap` lines from unless either is structural; the
-    distance is the least of both. Order-dependent, so each file is folded in one group.
+    distance is the least of both. Order-dependent, so each file is folded in one task.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[Hit]) -> list[tuple]:
         out: list[list] = []
-        for r in pdf.sort_values(["distance", "lo", "hi"], kind="stable").itertuples():
+        for r in rows:
             for o in out:
                 apart = max(r.lo - o[2], o[1] - r.hi)
                 if apart <= 0 or (apart <= gap and not r.structural and not o[4]):
@@ -120,9 +164,10 @@ def merge_nearby(hits: DataFrame, gap: int = 20) -> DataFrame:
                     break
             else:
                 out.append([r.file, r.lo, r.hi, r.distance, r.structural])
-        return pd.DataFrame([o[:4] for o in out], columns=["file", "lo", "hi", "distance"])
+        return [tuple(o[:4]) for o in out]
 
-    return hits.groupBy("file").applyInPandas(fold, "file long, lo long, hi long, distance double")
+    order = [F.col(c).asc_nulls_last() for c in ("distance", "lo", "hi", "structural")]
+    return _by_file(hits, Hit, order, fold, "file long, lo long, hi long, distance double")
 
 
 def fuse_channels(hits: DataFrame, least: float = 0.0, gap: int = 20, span: int = 200, slack: int = 5, near: int = 6) -> DataFrame:
@@ -133,15 +178,14 @@ def fuse_channels(hits: DataFrame, least: float = 0.0, gap: int = 20, span: int
     within `slack`, else within `near` lines, else make their own. A cluster counts its best rank of each channel.
     """
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+    def cluster(rows: list[Ranked]) -> list[tuple]:
         out: list[dict] = []
-        order = pdf.assign(unnamed=pdf["name"].isna()).sort_values(["unnamed", "channel", "rank", "lo", "hi"], kind="stable")
-        for r in order.itertuples():
-            fits = []
+        for r in rows:
+            fits, unnamed = [], r.name is None
             for i, c in enumerate(out):
                 apart = max(r.lo - c["hi"], c["lo"] - r.hi, 0)
                 whole = max(r.hi, c["hi"]) - min(r.lo, c["lo"])
-                if not r.unnamed:
+                if not unnamed:
                     if (c["name"] == r.name and apart <= gap or apart == 0) and whole <= span and c["name"] in (None, r.name):
                         fits.append((apart, whole, i))
                 elif c["lo"] <= r.lo and c["hi"] >= r.hi:
@@ -150,13 +194,13 @@ def fuse_channels(hits: DataFrame, least: float = 0.0, gap: int = 20, span: int
                     fits.append((apart, c["hi"] - c["lo"], i))
             if fits:
                 c = out[min(fits)[2]]
-                if not (r.unnamed and c["name"] is not None):
+                if not (unnamed and c["name"] is not None):
                     c["lo"], c["hi"] = min(c["lo"], r.lo), max(c["hi"], r.hi)
                 c["ranks"][r.channel] = min(c["ranks"].get(r.channel, r.rank), r.rank)
             else:
-                out.append({"name": None if r.unnamed else r.name, "lo": r.lo, "hi": r.hi, "ranks": {r.channel: r.rank}})
-        file = pdf["file"].iloc[0]
-        return pd.DataFrame([(file, c["name"], c["lo"], c["hi"], len(c["ranks"]), sum(1 / (RRF + k) for k in c["ranks"].values())) for c in out], columns=["file", "name", "lo", "hi", "channels", "score"])
+                out.append({"name": r.name, "lo": r.lo, "hi": r.hi, "ranks": {r.channel: r.rank}})
+        return [(rows[0].file, c["name"], c["lo"], c["hi"], len(c["ranks"]), sum(1 / (RRF + k) for k in c["ranks"].values())) for c in out]
 
-    out = hits.groupBy("file").applyInPandas(cluster, "file long, name string, lo long, hi long, channels long, score double")
+    order = [F.col("name").isNull(), *(F.col(c).asc_nulls_last() for c in ("channel", "rank", "lo", "hi", "name"))]
+    out = _by_file(hits, Ranked, order, cluster, "file long, name string, lo long, hi long, channels long, score double")
     return out.withColumn("score", F.round("score", 6)).where(F.col("score") >= least).orderBy(F.desc("score"), F.desc("channels"), "file", "lo", "hi")
