@@ -107,6 +107,11 @@ def cycles(edges: DataFrame) -> DataFrame:
     return found if found is not None else edges.select(F.col("src").alias("node"), F.col("dst").alias("scc")).limit(0)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df as one side of a join that deals both sides by key: a round's table isn't sent through the driver, hop by hop."""
+    return df.hint("merge")
+
+
 def communities(edges: DataFrame, rounds: int = 24, levels: int = 12) -> DataFrame:
     """(node, community) by the Louvain method over weighted undirected edges (a, b, w); a community is named by a node.
 
@@ -136,14 +141,14 @@ def communities(edges: DataFrame, rounds: int = 24, levels: int = 12) -> DataFra
             if still == 2:
                 break
         found = label.select("node", F.col("c").alias("community"))
-        inside = e.join(found.toDF("a", "ca"), "a").join(found.toDF("b", "cb"), "b")
+        inside = e.join(_dealt(found.toDF("a", "ca")), "a").join(_dealt(found.toDF("b", "cb")), "b")
         whole = stored(inside.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")), "weights")
         share = whole.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)) / m).first()[0]
         spread = label.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.pow(F.col("t") / (2 * m), 2))).first()[0]
         if best_q is not None and share - spread <= best_q + 1e-12:
             break
         best_q = share - spread
-        member = found if member is None else stored(member.toDF("n", "node").join(found, "node").select(F.col("n").alias("node"), "community"), "member")
+        member = found if member is None else stored(member.toDF("n", "node").join(_dealt(found), "node").select(F.col("n").alias("node"), "community"), "member")
         e = whole
         if e.where("a <> b").isEmpty():
             break
@@ -155,15 +160,15 @@ def communities(edges: DataFrame, rounds: int = 24, levels: int = 12) -> DataFra
 def _moved(both: DataFrame, label: DataFrame, m: float, turn: int) -> tuple[DataFrame, bool]:
     """label(node, c, k) after one round of moves, and whether any node moved."""
     total = label.groupBy("c").agg(F.sum("k").alias("t"), F.count("*").alias("n"))
-    near = both.join(label.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("w"))
-    now = label.withColumnsRenamed({"c": "c0"}).join(total.toDF("c0", "t0", "n0"), "c0")
-    cand = near.join(now, "node").join(total, "c")
+    near = both.join(_dealt(label.select(F.col("node").alias("b"), "c")), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("w"))
+    now = label.withColumnsRenamed({"c": "c0"}).join(_dealt(total.toDF("c0", "t0", "n0")), "c0")
+    cand = near.join(_dealt(now), "node").join(_dealt(total), "c")
     own = F.col("c") == F.col("c0")
     gain = F.col("w") - F.col("k") * (F.col("t") - F.when(own, F.col("k")).otherwise(0.0)) / (2 * m)
     swap = (F.col("n") == 1) & (F.col("n0") == 1) & (F.col("c") > F.col("c0"))
     cand = cand.withColumn("gain", F.when(own, gain).when(swap, None).otherwise(gain))
     top = cand.groupBy("node").agg(F.max(F.when(own, F.col("gain"))).alias("stay"), F.max_by("c", F.struct(F.col("gain"), -F.col("c"))).alias("to"), F.max("gain").alias("gain"))
-    out = now.join(top, "node", "left")
+    out = now.join(_dealt(top), "node", "left")
     stay = F.coalesce("stay", -F.col("k") * (F.col("t0") - F.col("k")) / (2 * m))
     turns = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
     go = turns & F.coalesce(F.col("gain") > stay + 1e-12, F.lit(False)) & F.col("to").isNotNull()

@@ -42,3 +42,14 @@ def test_symbols(spark):
     got = sorted((r.id or 0, r.body) for r in structure.by_symbols(df, marks, "id", "text", 50, 5).collect())
     assert got == sorted([(1, text[:10]), (1, text[10:54]), (1, text[54:]), (2, "plain"), (0, "x\ny")])
     assert text[10:54].startswith("class K:") and text[54:].startswith("def f():")
+
+
+def test_rounds_of_communities_broadcast_nothing(spark, monkeypatch):
+    from tessera.operators import graph
+
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "a long, b long, w double")
+    label = spark.createDataFrame([(1, 1, 1.0), (2, 2, 2.0), (3, 3, 1.0)], "node long, c long, k double")
+    plans, keep = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    graph._moved(edges, label, 2.0, 0)
+    assert plans and not any("Broadcast" in p for p in plans)
