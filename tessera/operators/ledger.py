@@ -42,10 +42,13 @@ def streaks(df: DataFrame, lane: str, order: list[str], test: Column, least: int
 
 
 def ranges(df: DataFrame, key: str, n: str) -> DataFrame:
-    """(key, lo, hi): consecutive integers of a key folded to ranges."""
-    df = df.select(key, n).distinct()
-    g = F.col(n) - F.row_number().over(Window.partitionBy(key).orderBy(n))
-    return df.withColumn("_g", g).groupBy(key, "_g").agg(F.min(n).alias("lo"), F.max(n).alias("hi")).drop("_g")
+    """(key, lo, hi): consecutive integers of a key folded to ranges; null is a range of its own. Rows are only sorted, not held in hash tables."""
+    w = Window.partitionBy(key).orderBy(n)
+    prev, nxt = F.lag(n).over(w), F.lead(n).over(w)
+    first = F.lag(F.lit(1)).over(w).isNull() | (F.col(n).isNotNull() & (prev.isNull() | (F.col(n) - prev > 1)))
+    ends = df.select(key, n).withColumns({"_first": first, "_last": F.coalesce(nxt - F.col(n) > 1, F.lit(True))}).where("_first OR _last")
+    hi = F.when(F.col("_last"), F.col(n)).otherwise(F.lead(n).over(w))
+    return ends.select(key, F.col(n).alias("lo"), hi.alias("hi"), "_first").where("_first").drop("_first")
 
 
 def within_budget(df: DataFrame, lane: str, order: list[str], cost: str, budget: int) -> DataFrame:

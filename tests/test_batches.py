@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import search, toolfilters
+from tessera.operators import ledger, search, toolfilters
 from tessera.sources import files as sources
 from tessera.sources import markup
 
@@ -64,3 +64,10 @@ def test_files_are_folded_without_a_group_each(spark):
     ch = hits.selectExpr("'text' AS channel", "file", "if(structural, concat('s', lo), NULL) AS name", "lo", "hi", "lo AS rank")
     fused = search.fuse_channels(ch)
     assert "FlatMapGroups" not in fused._jdf.queryExecution().toString() and fused.select("file").distinct().count() == 501
+
+
+def test_ranges_hold_no_hash_tables(spark):
+    rows = spark.createDataFrame([("a", n) for n in (5, 1, 2, 2, 3, 9, 9, None, None)] + [("b", 4), ("c", None), (None, 7), (None, 8)], "k string, n long")
+    out = ledger.ranges(rows, "k", "n")
+    assert "HashAggregate" not in out._jdf.queryExecution().toString()
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([("a", None, None), ("a", 1, 3), ("a", 5, 5), ("a", 9, 9), ("b", 4, 4), ("c", None, None), (None, 7, 8)], key=repr)
