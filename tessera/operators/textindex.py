@@ -21,12 +21,14 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.search import K1, B
 
-BUCKETS, SLICE, BLOCK, DIGITS = 32, 50_000_000, 256, 6  # SLICE: words of the documents of one slice
+BUCKETS, SLICE, BLOCK, DIGITS = 32, 50_000_000, 256, 6  # SLICE: words of one slice
+CHUNK = 8 << 20  # bytes of text of which a task holds the words at once
 PATTERN = "[^a-z]+"
 
 
@@ -83,62 +85,109 @@ def bucket(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
 
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(text, PATTERN), "")
+def _words(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has. Whole arrays of bytes, no loop over texts.
 
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, len, text in lower case) to (key, term, tf, len)."""
-    cut = re.compile(PATTERN).split
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            terms: list[str] = []
-            tfs: list[int] = []
-            sizes = []
-            for text in part.column(2).to_pylist():
-                tf: dict[str, int] = {}
-                for w in cut(text):
-                    if w:
-                        tf[w] = tf.get(w, 0) + 1
-                terms += tf
-                tfs += tf.values()
-                sizes.append(len(tf))
-            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array(terms, pa.string()), pa.array(tfs, pa.int32()), part.column(1).take(row)], names=["key", "term", "tf", "len"])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, term, impact, key, tf, len) by term and falling impact to blocks of at most BLOCK of a term."""
+    Bytes of other characters are never those of a to z in UTF-8.
+    """
+    texts = texts.fill_null("").cast(pa.string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    letter = (data - np.uint8(97)) < 26
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    inner = bounds[(bounds > 0) & (bounds < len(data))]  # where a text begins, a word can't go on
+    first[inner] = letter[inner]
+    last = letter.copy()
+    last[:-1] &= ~letter[1:]
+    last[inner - 1] = letter[inner - 1]
+    starts = np.flatnonzero(first)
+    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - starts)]).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[letter]))
+    return found, np.diff(np.searchsorted(starts, bounds))
+
+
+def _parts(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most CHUNK bytes of text, or one text."""
+    ends, at = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text in lower case) to (key, len); a null text has no length."""
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        code = batch.column(1).dictionary_encode().indices.to_numpy()
-        first = np.concatenate([[True], code[1:] != code[:-1]])
-        at = np.arange(n)
-        starts = np.flatnonzero((at - np.maximum.accumulate(np.where(first, at, 0))) % BLOCK == 0)
-        offsets = pa.array(np.append(starts, n), pa.int32())
-        head = pa.array(starts)
-        lists = [pa.ListArray.from_arrays(offsets, batch.column(i)) for i in (3, 4, 5)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(head) for i in (0, 1, 2)), pa.array(np.diff(np.append(starts, n)), pa.int32()), *lists], names=["bucket", "term", "impact", "n", "keys", "tfs", "lens"])
+        for part in _parts(batch, batch.column(1)):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_words(part.column(1))[1], pa.int32(), mask=part.column(1).is_null().to_numpy(zero_copy_only=False))], names=["key", "len"])
+
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text in lower case) to (term, keys, tfs, lens): one row for each term of a chunk of texts, with all its documents there."""
+    for batch in batches:
+        for part in _parts(batch, batch.column(1)):
+            found, sizes = _words(part.column(1))
+            if not len(found):
+                continue
+            coded = found.dictionary_encode()
+            at = np.repeat(np.arange(len(sizes)), sizes)
+            both, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(sizes) + at, return_counts=True)
+            code, doc = np.divmod(both, len(sizes))
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            offsets = pa.array(np.append(starts, len(code)), pa.int32())
+            lists = [part.column(0).take(pa.array(doc)), pa.array(tf, pa.int32()), pa.array(sizes[doc], pa.int32())]
+            yield pa.RecordBatch.from_arrays([coded.dictionary, *(pa.ListArray.from_arrays(offsets, x) for x in lists)], names=["term", "keys", "tfs", "lens"])
+
+
+def _cut(average: float):
+    """Rows (bucket, term, keys, tfs, lens), sorted by term, to blocks of at most BLOCK postings of a term by falling impact.
+
+    A batch of rows is held at once; a term that goes on in the next one begins new blocks there.
+    """
 
-def _impact(tf: Column, size: Column, average: float) -> Column:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, tf, size = (batch.column(i).flatten() for i in (2, 3, 4))
+            if not len(keys):
+                continue
+            code = batch.column(1).dictionary_encode().indices.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            term = code[row]
+            impact = _impact(tf.to_numpy(), size.to_numpy(), average)
+            rank = keys.to_numpy() if pa.types.is_integer(keys.type) else pc.rank(keys, "ascending", tiebreaker="dense").to_numpy()
+            order = np.lexsort((rank, -impact, term))
+            term, n = term[order], len(order)
+            at = np.arange(n)
+            first = np.diff(term, prepend=-1) != 0
+            starts = np.flatnonzero((at - np.maximum.accumulate(np.where(first, at, 0))) % BLOCK == 0)
+            offsets, to, head = pa.array(np.append(starts, n), pa.int32()), pa.array(order), order[starts]
+            lists = [pa.ListArray.from_arrays(offsets, x.take(to)) for x in (keys, tf, size)]
+            named = [batch.column(i).take(pa.array(row[head])) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(impact[head]), pa.array(np.diff(np.append(starts, n)), pa.int32()), *lists], names=["bucket", "term", "impact", "n", "keys", "tfs", "lens"])
+
+    return run
+
+
+def _impact(tf: Any, size: Any, average: float) -> Any:
+    """Of columns or arrays."""
     return tf / (tf + K1 * (1 - B + B * size / average))
 
 
-def _write(spark: SparkSession, root: str, postings: DataFrame, size: int, average: float) -> None:
-    """postings(key, term, tf, len) as sorted blocks in bucket folders; a task holds one bucket of one slice of documents; size: words in all."""
-    slices = max(1, math.ceil(size / SLICE))
-    kind = postings.schema["key"].dataType.simpleString()
-    rows = postings.select((F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int").alias("bucket"), "term", _impact(F.col("tf"), F.col("len"), average).alias("impact"), "key", "tf", "len")
-    part = F.col("bucket") * slices + F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")
-    rows = rows.repartitionById(BUCKETS * slices, part).sortWithinPartitions("bucket", "term", F.desc("impact"), "key")
-    blocks = rows.mapInArrow(_cut, f"bucket int, term string, impact double, n int, keys array<{kind}>, tfs array<int>, lens array<int>")
+def _write(root: str, groups: DataFrame, slices: int, average: float) -> None:
+    """groups(slice, term, keys, tfs, lens) as sorted blocks in bucket folders; a task holds one bucket of one slice of the postings."""
+    kind = groups.schema["keys"].dataType.elementType.simpleString()
+    rows = groups.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int"))
+    rows = rows.repartitionById(BUCKETS * slices, F.col("bucket") * slices + F.col("slice")).sortWithinPartitions("term")
+    blocks = rows.select("bucket", "term", "keys", "tfs", "lens").mapInArrow(_cut(average), f"bucket int, term string, impact double, n int, keys array<{kind}>, tfs array<int>, lens array<int>")
     blocks.write.option("parquet.block.size", 16 << 20).partitionBy("bucket").parquet(f"{root}/postings")
 
 
+def _slices(words: int) -> int:
+    return max(1, math.ceil(words / SLICE))
+
+
 def add(spark: SparkSession, root: str, docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict:
     """Index docs as a new segment and return the new state; documents whose key is there already are replaced.
 
@@ -148,15 +197,15 @@ def add(spark: SparkSession, root: str, docs: DataFrame, key: str = "doc_id", te
     before = state(spark, root)
     segment = f"{root}/segments/{uuid.uuid4().hex}"
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.lower(F.col(f"`{text}`").cast("string")).alias("text")).where("key IS NOT NULL")
-    rows.select("key", F.size(words(F.col("text"))).alias("len")).write.parquet(f"{segment}/lengths")
+    kind = rows.schema["key"].dataType.simpleString()
+    rows.mapInArrow(_measured, f"key {kind}, len int").write.parquet(f"{segment}/lengths")
     lengths = spark.read.parquet(f"{segment}/lengths")
     n, texts, total = _sizes(lengths)
     if not lengths.groupBy("key").count().where("count > 1").isEmpty():
         raise ValueError("keys of documents must differ")
     average = total / max(texts, 1) or 1.0
-    kind = rows.schema["key"].dataType.simpleString()
-    postings = rows.select("key", F.size(words(F.col("text"))).alias("len"), "text").where("text IS NOT NULL").mapInArrow(_counted, f"key {kind}, term string, tf int, len int")
-    _write(spark, segment, postings, total, average)
+    groups = rows.where("text IS NOT NULL").mapInArrow(_grouped, f"term string, keys array<{kind}>, tfs array<int>, lens array<int>")
+    _write(segment, groups.withColumn("slice", F.spark_partition_id() % _slices(total)), _slices(total), average)  # rows of a task stay in one slice, so that a task run again deals them alike
     now = before | {"version": before["version"] + 1, "segments": [*before["segments"], {"path": segment, "average": average}], "docs": before["docs"] + n, "texts": before["texts"] + texts, "words": before["words"] + total}
     if before["segments"]:
         gone = _live(spark, before).join(lengths.select("key"), "key")
@@ -205,7 +254,10 @@ def merge(spark: SparkSession, root: str) -> dict:
     segment = f"{root}/segments/{uuid.uuid4().hex}"
     _live(spark, now).select("key", "len").write.parquet(f"{segment}/lengths")
     average = _average(now)
-    _write(spark, segment, _hits(spark, now, _blocks(spark, now, None)), now["words"], average)
+    blocks, slices = _blocks(spark, now, None), _slices(now["words"])
+    if now["gone"]:
+        blocks = _hits(spark, now, blocks).select("term", *(F.array(c).alias(f"{c}s") for c in ("key", "tf", "len")))
+    _write(segment, blocks.select("term", "keys", "tfs", "lens", F.pmod(F.xxhash64(F.col("keys")[0]), F.lit(slices)).cast("int").alias("slice")), slices, average)
     now |= {"version": now["version"] + 1, "segments": [{"path": segment, "average": average}], "gone": False}
     _commit(spark, root, now)
     return now
