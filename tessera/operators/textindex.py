@@ -20,6 +20,7 @@ from functools import reduce
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,20 +142,73 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([coded.dictionary, *(pa.ListArray.from_arrays(offsets, x) for x in lists)], names=["term", "keys", "tfs", "lens"])
 
 
+def _rows_of(lists: pa.Array) -> np.ndarray:
+    """For each value of the lists the row that it stands in."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _by_key(slices: int):
+    """Rows (segment, term, keys, tfs, lens) to (slice, segment, term, keys, tfs, lens): each cut by a hash of its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(i).flatten() for i in (2, 3, 4)]
+            row = _rows_of(batch.column(2))
+            at = (pd.util.hash_array(lists[0].to_numpy(zero_copy_only=False)) % slices).astype(np.int32)
+            order = np.lexsort((at, row))
+            at, row = at[order], row[order]
+            starts = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+            offsets, to, head = pa.array(np.append(starts, len(at)), pa.int32()), pa.array(order), pa.array(row[starts])
+            yield pa.RecordBatch.from_arrays([pa.array(at[starts]), batch.column(0).take(head), batch.column(1).take(head), *(pa.ListArray.from_arrays(offsets, x.take(to)) for x in lists)], names=["slice", "segment", "term", "keys", "tfs", "lens"])
+
+    return run
+
+
+def _gone_by_key(slices: int):
+    """(segment, key) to rows of the empty term, many keys each, as `_by_key` deals them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in np.unique(batch.column(0).to_numpy()):
+                keys = batch.column(1).filter(pc.equal(batch.column(0), int(k)))
+                ends = pa.array([0, len(keys)], pa.int32())
+                none = pa.ListArray.from_arrays(ends, pa.array(np.zeros(len(keys), np.int32)))
+                one = pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([""]), pa.ListArray.from_arrays(ends, keys), none, none], names=["segment", "term", "keys", "tfs", "lens"])
+                yield from _by_key(slices)(iter([one]))
+
+    return run
+
+
+def _without(gone: dict[int, list[pa.Array]], segment: np.ndarray, keys: pa.Array) -> np.ndarray:
+    """Places of the keys that aren't gone from their segment."""
+    stays = np.ones(len(keys), bool)
+    for k, parts in gone.items():
+        here = np.flatnonzero(segment == k)
+        stays[here] = ~pc.is_in(keys.take(pa.array(here)), value_set=pa.concat_arrays(parts)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(stays)
+
+
 def _cut(average: float):
-    """Rows (bucket, term, keys, tfs, lens), sorted by term, to blocks of at most BLOCK postings of a term by falling impact.
+    """Rows (bucket, segment, term, keys, tfs, lens), sorted by term, to blocks of at most BLOCK postings of a term by falling impact.
 
-    A batch of rows is held at once; a term that goes on in the next one begins new blocks there.
+    A batch of rows is held at once; a term that goes on in the next one begins new blocks there. Rows of the empty term
+    come first: their keys are gone from their segment, and are left out of the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone: dict[int, list[pa.Array]] = {}
         for batch in batches:
-            keys, tf, size = (batch.column(i).flatten() for i in (2, 3, 4))
+            for at in np.flatnonzero(pc.equal(batch.column(2), "").to_numpy(zero_copy_only=False)):
+                gone.setdefault(batch.column(1)[at].as_py(), []).append(batch.column(3)[at].values)
+            batch = batch.filter(pc.not_equal(batch.column(2), ""))
+            keys, tf, size = (batch.column(i).flatten() for i in (3, 4, 5))
+            row = _rows_of(batch.column(3))
+            if gone:
+                stays = _without(gone, batch.column(1).to_numpy()[row], keys)
+                row, (keys, tf, size) = row[stays], (x.take(pa.array(stays)) for x in (keys, tf, size))
             if not len(keys):
                 continue
-            code = batch.column(1).dictionary_encode().indices.to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
-            term = code[row]
+            term = batch.column(2).dictionary_encode().indices.to_numpy()[row]
             impact = _impact(tf.to_numpy(), size.to_numpy(), average)
             rank = keys.to_numpy() if pa.types.is_integer(keys.type) else pc.rank(keys, "ascending", tiebreaker="dense").to_numpy()
             order = np.lexsort((rank, -impact, term))
@@ -164,7 +218,7 @@ def _cut(average: float):
             starts = np.flatnonzero((at - np.maximum.accumulate(np.where(first, at, 0))) % BLOCK == 0)
             offsets, to, head = pa.array(np.append(starts, n), pa.int32()), pa.array(order), order[starts]
             lists = [pa.ListArray.from_arrays(offsets, x.take(to)) for x in (keys, tf, size)]
-            named = [batch.column(i).take(pa.array(row[head])) for i in (0, 1)]
+            named = [batch.column(i).take(pa.array(row[head])) for i in (0, 2)]
             yield pa.RecordBatch.from_arrays([*named, pa.array(impact[head]), pa.array(np.diff(np.append(starts, n)), pa.int32()), *lists], names=["bucket", "term", "impact", "n", "keys", "tfs", "lens"])
 
     return run
@@ -175,12 +229,23 @@ def _impact(tf: Any, size: Any, average: float) -> Any:
     return tf / (tf + K1 * (1 - B + B * size / average))
 
 
-def _write(root: str, groups: DataFrame, slices: int, average: float) -> None:
-    """groups(slice, term, keys, tfs, lens) as sorted blocks in bucket folders; a task holds one bucket of one slice of the postings."""
+def _write(root: str, groups: DataFrame, slices: int, average: float, gone: DataFrame | None = None) -> None:
+    """groups(slice, term, keys, tfs, lens) as sorted blocks in bucket folders; a task holds one bucket of one slice of the postings.
+
+    With gone(key, segment), groups have a segment too, and these documents of it are left out: each task gets the gone
+    keys of its slice, by a hash of the key.
+    """
     kind = groups.schema["keys"].dataType.elementType.simpleString()
-    rows = groups.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int"))
+    bucket_of = (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")
+    if gone is None:
+        rows = groups.withColumns({"segment": F.lit(0), "bucket": bucket_of})
+    else:
+        fields = f"slice int, segment int, term string, keys array<{kind}>, tfs array<int>, lens array<int>"
+        live = groups.select("segment", "term", "keys", "tfs", "lens").mapInArrow(_by_key(slices), fields).withColumn("bucket", bucket_of)
+        lost = gone.select("segment", "key").mapInArrow(_gone_by_key(slices), fields).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
+        rows = live.unionByName(lost)
     rows = rows.repartitionById(BUCKETS * slices, F.col("bucket") * slices + F.col("slice")).sortWithinPartitions("term")
-    blocks = rows.select("bucket", "term", "keys", "tfs", "lens").mapInArrow(_cut(average), f"bucket int, term string, impact double, n int, keys array<{kind}>, tfs array<int>, lens array<int>")
+    blocks = rows.select("bucket", "segment", "term", "keys", "tfs", "lens").mapInArrow(_cut(average), f"bucket int, term string, impact double, n int, keys array<{kind}>, tfs array<int>, lens array<int>")
     blocks.write.option("parquet.block.size", 16 << 20).partitionBy("bucket").parquet(f"{root}/postings")
 
 
@@ -255,9 +320,8 @@ def merge(spark: SparkSession, root: str) -> dict:
     _live(spark, now).select("key", "len").write.parquet(f"{segment}/lengths")
     average = _average(now)
     blocks, slices = _blocks(spark, now, None), _slices(now["words"])
-    if now["gone"]:
-        blocks = _hits(spark, now, blocks).select("term", *(F.array(c).alias(f"{c}s") for c in ("key", "tf", "len")))
-    _write(segment, blocks.select("term", "keys", "tfs", "lens", F.pmod(F.xxhash64(F.col("keys")[0]), F.lit(slices)).cast("int").alias("slice")), slices, average)
+    groups = blocks.select("segment", "term", "keys", "tfs", "lens", F.pmod(F.xxhash64(F.col("keys")[0]), F.lit(slices)).cast("int").alias("slice"))
+    _write(segment, groups, slices, average, _gone(spark, now) if now["gone"] else None)
     now |= {"version": now["version"] + 1, "segments": [{"path": segment, "average": average}], "gone": False}
     _commit(spark, root, now)
     return now
