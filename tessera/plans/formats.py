@@ -70,7 +70,7 @@ def q_xml_scan(s, d):
 def q_xml_path(s, d):
     line = F.concat(F.lit('<line part="'), "l_partkey", F.lit('" qty="'), "l_quantity", F.lit('"/>'))
     docs = T(s, d, "lineitem").select("l_orderkey", "l_partkey", line.alias("line")).groupBy("l_orderkey").agg(F.concat(F.lit("<order>"), F.array_join(F.array_sort(F.collect_list(F.struct("l_partkey", "line")))["line"], ""), F.lit("</order>")).alias("doc"))
-    found = xmltable.values(xmltable.values(docs, "doc", "order/line[@qty>25]/@part", "many"), "doc", "/order/line[1]/@part", "least")
+    found = xmltable.values_at(docs, "doc", {"many": "order/line[@qty>25]/@part", "least": "/order/line[1]/@part"})
     return found.select("l_orderkey", F.size("many").cast("long").alias("many"), F.col("least")[0].cast("long").alias("least"))
 
 
