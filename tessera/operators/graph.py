@@ -6,10 +6,15 @@ shared folder, so a lost executor costs one hop.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.session import stored
+from tessera.operators import louvain
+from tessera.session import discard, stored
 
 
 def reach(edges: DataFrame, start: DataFrame, most: int = 8) -> DataFrame:
@@ -112,7 +117,7 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def communities(edges: DataFrame, rounds: int = 24, levels: int = 12) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 24, levels: int = 12, block: int = 1_000_000) -> DataFrame:
     """(node, community) by the Louvain method over weighted undirected edges (a, b, w); a community is named by a node.
 
     Local moving: each node goes to the neighbours' community with the greatest gain in modularity over staying, the
@@ -120,60 +125,92 @@ def communities(edges: DataFrame, rounds: int = 24, levels: int = 12) -> DataFra
     greater goes to the lesser, so that labels never swap for ever (Lu, Halappanavar and Kalyanaraman, 2015). Where two
     rounds move nothing, or after `rounds`, communities become nodes and it starts again, as long as modularity grows; if it
     still does after `levels`, that is an error.
-    Every community's sums are aggregated before the shuffle; no neighbourhood is collected.
+    Rounds run on blocks of about `block` neighbours (louvain.py), and from the level on that is one block, in one task;
+    labels don't depend on the blocks. A node's neighbours are in one block, however many. Nodes are integers.
     """
-    e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("w").cast("double").alias("w"))
+    kind = edges.schema["a"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"nodes are {kind.simpleString()}, not integers")
+    e = edges.where("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), F.col("w").cast("double").alias("w"))
     e = stored(e.groupBy("a", "b").agg(F.sum("w").alias("w")), "weights")
-    m = e.agg(F.sum("w")).first()[0]
-    ends = lambda x: x.select(F.col("a").alias("node"), "w").unionByName(x.select(F.col("b").alias("node"), "w"))
+    m, n, known = e.agg(F.sum("w"), F.count("*"), F.count("w")).first()
     if not m:
-        return ends(e).select("node", F.col("node").alias("community")).limit(0)
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("community")).limit(0)
+    if known < n:  # a node of such an edge may have no other
+        alone = e.where("w IS NULL").select(F.explode(F.array("a", "b")).alias("a"))
+        e = stored(e.where("w IS NOT NULL").unionByName(alone.select("a", F.col("a").alias("b"), F.lit(0.0).alias("w"))), "weights")
     member, best_q = None, None
-    for _ in range(levels):
-        degree = stored(ends(e).groupBy("node").agg(F.sum("w").alias("k")), "degree")  # a loop counts at both ends
-        both = e.where("a <> b")
-        both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "undirected")
-        label = stored(degree.select("node", F.col("node").alias("c"), "k"), "labels")
+
+    def through(found: DataFrame) -> DataFrame:
+        return found if member is None else stored(member.toDF("n", "node").join(_dealt(found), "node").select(F.col("n").alias("node"), "community"), "member")
+
+    for level in range(levels):
+        size = 2 * e.count()
+        if size <= block:
+            rest = stored(e.coalesce(1).mapInArrow(louvain.settled(m, rounds, levels - level, best_q), "node long, community long, open boolean"), "settled")
+            if not rest.where("open").isEmpty():
+                raise RuntimeError(f"communities still grew after {levels} levels")
+            member = through(rest.select("node", "community"))
+            break
+        many = -(-size // block)
+        cuts = e.select("a").union(e.select("b")).approxQuantile("a", [i / many for i in range(1, many)], 0.25 / many)
+        bounds = np.unique(np.array(cuts, "int64"))
+        static = _blocks([(e, louvain.EDGES)], bounds, mirror=True)
+        sent = static.mapInArrow(louvain.begun(bounds), louvain.ROW)
         still = 0
         for turn in range(rounds):
-            label, moved = _moved(both, label, m, turn)
+            before = sent
+            sent, moved = _round(static, before, bounds, m, turn)
+            if turn:  # the first is computed from static
+                discard(before)
             still = 0 if moved else still + 1
             if still == 2:
                 break
-        found = label.select("node", F.col("c").alias("community"))
-        inside = e.join(_dealt(found.toDF("a", "ca")), "a").join(_dealt(found.toDF("b", "cb")), "b")
-        whole = stored(inside.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")), "weights")
+        end = stored(_ended(static, sent, bounds), "ended")
+        discard(sent)
+        discard(static)
+        whole = stored(end.where(F.col("kind") == louvain.EDGES).groupBy("a", "b").agg(F.sum("w").alias("w")), "weights")
         share = whole.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)) / m).first()[0]
-        spread = label.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.pow(F.col("t") / (2 * m), 2))).first()[0]
+        label = end.where(F.col("kind") == louvain.NODES).select(F.col("a").alias("node"), F.col("b").alias("community"), F.col("w").alias("k"))
+        spread = label.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum(F.pow(F.col("t") / (2 * m), 2))).first()[0]
         if best_q is not None and share - spread <= best_q + 1e-12:
             break
         best_q = share - spread
-        member = found if member is None else stored(member.toDF("n", "node").join(_dealt(found), "node").select(F.col("n").alias("node"), "community"), "member")
+        member = through(label.select("node", "community"))
         e = whole
         if e.where("a <> b").isEmpty():
             break
     else:
         raise RuntimeError(f"communities still grew after {levels} levels")
-    return member
-
-
-def _moved(both: DataFrame, label: DataFrame, m: float, turn: int) -> tuple[DataFrame, bool]:
-    """label(node, c, k) after one round of moves, and whether any node moved."""
-    total = label.groupBy("c").agg(F.sum("k").alias("t"), F.count("*").alias("n"))
-    near = both.join(_dealt(label.select(F.col("node").alias("b"), "c")), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("w"))
-    now = label.withColumnsRenamed({"c": "c0"}).join(_dealt(total.toDF("c0", "t0", "n0")), "c0")
-    cand = near.join(_dealt(now), "node").join(_dealt(total), "c")
-    own = F.col("c") == F.col("c0")
-    gain = F.col("w") - F.col("k") * (F.col("t") - F.when(own, F.col("k")).otherwise(0.0)) / (2 * m)
-    swap = (F.col("n") == 1) & (F.col("n0") == 1) & (F.col("c") > F.col("c0"))
-    cand = cand.withColumn("gain", F.when(own, gain).when(swap, None).otherwise(gain))
-    top = cand.groupBy("node").agg(F.max(F.when(own, F.col("gain"))).alias("stay"), F.max_by("c", F.struct(F.col("gain"), -F.col("c"))).alias("to"), F.max("gain").alias("gain"))
-    out = now.join(_dealt(top), "node", "left")
-    stay = F.coalesce("stay", -F.col("k") * (F.col("t0") - F.col("k")) / (2 * m))
-    turns = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
-    go = turns & F.coalesce(F.col("gain") > stay + 1e-12, F.lit(False)) & F.col("to").isNotNull()
-    out = stored(out.select("node", F.when(go, F.col("to")).otherwise(F.col("c0")).alias("c"), "k", go.alias("go")), "labels")
-    return out.select("node", "c", "k"), not out.where("go").isEmpty()
+    return member.select(F.col("node").cast(kind).alias("node"), F.col("community").cast(kind).alias("community"))
+
+
+def _blocks(tables: list[tuple[DataFrame, int]], bounds: np.ndarray, mirror: bool = False) -> DataFrame:
+    """The rows of `tables`, each with its kind in louvain.py, as one STATIC row for each block."""
+    dealt = [df.mapInArrow(louvain.dealt(bounds, kind, mirror), louvain.ROW) for df, kind in tables]
+    return stored(reduce(DataFrame.unionByName, dealt).repartitionById(len(bounds) + 1, "dest").mapInArrow(louvain.built(bounds), louvain.ROW), "blocks")
+
+
+def _round(static: DataFrame, sent: DataFrame, bounds: np.ndarray, m: float, turn: int) -> tuple[DataFrame, bool]:
+    """What blocks send after one round of moves, from what they sent before, and whether any node moved."""
+    told = sent.where(F.col("kind") == louvain.SUMS).repartitionById(len(bounds) + 1, "dest").mapInArrow(louvain.totals, louvain.ROW)
+    work = static.unionByName(sent.where(F.col("kind") == louvain.LABELS)).unionByName(told)
+    out = stored(work.repartitionById(len(bounds) + 1, "dest").mapInArrow(louvain.moved(bounds, m, turn), louvain.ROW), "labels")
+    return out, not out.where("moved > 0").isEmpty()
+
+
+def _ended(static: DataFrame, sent: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """(kind, a, b, w): nodes with label and degree, and edges between labels."""
+    work = static.unionByName(sent.where(F.col("kind") == louvain.LABELS)).repartitionById(len(bounds) + 1, "dest")
+    return work.mapInArrow(louvain.ended, "kind int, a long, b long, w double")
+
+
+def _moved(both: DataFrame, label: DataFrame, m: float, turn: int, bounds: tuple[int, ...] = ()) -> tuple[DataFrame, bool]:
+    """label(node, c, k) after one round of moves along edges given both ways, and whether any node moved."""
+    cuts = np.array(bounds, "int64")
+    static = _blocks([(both, louvain.EDGES), (label, louvain.NODES)], cuts)
+    sent, moved = _round(static, static.mapInArrow(louvain.begun(cuts), louvain.ROW), cuts, m, turn)
+    return _ended(static, sent, cuts).where(F.col("kind") == louvain.NODES).select(F.col("a").alias("node"), F.col("b").alias("c"), F.col("w").alias("k")), moved
 
 
 def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:
